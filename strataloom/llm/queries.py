@@ -1,9 +1,13 @@
 """Registered queries of the training-data operators and the SQL that DuckDB can check them with."""
 
+from strataloom.llm.quality import op1_quality
 from strataloom.llm.simhash import op6_simhash
+from strataloom.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op6_simhash": op6_simhash,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
