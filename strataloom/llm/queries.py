@@ -1,13 +1,17 @@
 """Registered queries of the training-data operators and the SQL that DuckDB can check them with."""
 
+from strataloom.llm.hilbert import op2_hilbert
+from strataloom.llm.packing import op10_packing
 from strataloom.llm.quality import op1_quality
 from strataloom.llm.simhash import op6_simhash
 from strataloom.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_hilbert": op2_hilbert,
     "op6_simhash": op6_simhash,
     "op8_toxicity": op8_toxicity,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,9 +6,9 @@ each coordinate and its L1 term leaves most weights exactly zero, so the model
 that every executor needs is a short list of (coordinate, weight) pairs with a
 proven bound: 2**BITS entries of 12 bytes.
 
-Labels are learnt from a bounded sample, at most `per_class` rows of each class
-(a documented parameter), chosen by hash; the fit runs in one task over that
-sample. Every document is scored over its whole text.
+Labels are learnt from a bounded sample (a documented parameter): at most
+`per_class` toxic rows and one and a half times as many others, chosen by hash;
+the fit runs in one task over that sample. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def features(text: str | None, hashes: WordHashes, bits: int = BITS) -> np.ndarr
     return np.unique((mixed >> np.uint64(64 - bits)).astype(np.int32))
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 4, alpha: float = 0.1, beta: float = 1.0, l1: float = 16.0, l2: float = 1.0) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 4, alpha: float = 0.1, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights (dense, mostly zero) and bias. rows are visited in the given order, `epochs` times."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
@@ -67,7 +67,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 4,
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coordinates, weights, bias), learnt from at most `per_class` labelled rows of each class.
+    """(coordinates, weights, bias), learnt from at most `per_class` toxic rows and 1.5 times as many others.
 
     Only rows whose crc32(doc_id as text) mod 5 is not 0 are read. Null labels,
     ids or texts are left out. Without labelled rows the model is empty and every
@@ -76,8 +76,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     small_batches(docs.sparkSession)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     labels = labels.where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+    toxic = min(per_class, labels.where("y = 1").count())
     order = F.xxhash64("doc_id")
-    parts = [labels.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
+    parts = [labels.where(F.col("y") == y).orderBy(order, "doc_id").limit(k) for y, k in ((0, toxic * 3 // 2 + 1), (1, toxic + 1))]
     picked = stored(parts[0].unionByName(parts[1]), "toxic-sample")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
 
