@@ -110,17 +110,19 @@ class Probe:
         return found
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, agree: float = AGREE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, agree: float = AGREE, block_words: int = BLOCK_WORDS, key: str | None = None) -> DataFrame:
     """(rid, doc_id, items, overlap): one row for each row of docs.
 
     items: ids of the benchmark items found in the document, ascending; empty
     for none, and for null and blank texts. overlap: the best verified share,
     0.0 for none. Benchmark rows with null ids or without words match nothing;
-    items shorter than every mask must occur whole.
+    items shorter than every mask must occur whole. rid is the column `key` of
+    docs, or a number of the row.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rid = F.col(key).cast("long") if key else F.monotonically_increasing_id()
+    rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     # items in blocks of about block_words words: the words of an item are at most half its characters
     sized = stored(tests.groupBy("item_id", "text").count().drop("count").withColumn("weight", F.length("text")), "tests")
@@ -150,8 +152,7 @@ def _scan(rows: DataFrame, items: list, span: int, agree: float) -> DataFrame:
                 ["rid", "doc_id", "items", "overlap"],
             )
 
-    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    return numbered.mapInArrow(run, "rid long, doc_id long, items array<long>, overlap double")
+    return rows.mapInArrow(run, "rid long, doc_id long, items array<long>, overlap double")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,19 +122,21 @@ def _trimmed(x: Column) -> Column:
     return F.struct((x["s"] + lead).alias("s"), (x["s"] + lead + F.length(core)).alias("e"), core.alias("v"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, base, occ): base spans and the occurrences of seeds and candidates with their patterns. Null texts are empty."""
+def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(rid, doc_id or the columns `keep`, base, occ): base spans and the occurrences of seeds and candidates with their patterns. Null texts are empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
+    named = [F.col(c) for c in keep] if keep else [F.col("doc_id").cast("long").alias("doc_id")]
+    keep = keep or ["doc_id"]
+    rows = docs.select(*named, text.alias("t"))
     none = F.array().cast("array<struct<s:int,e:int,k:int,v:string>>")
-    rows = rows.select("doc_id", "t", F.when(F.col("t").rlike("[0-9@]"), base_spans(F.col("t"))).otherwise(none).alias("base"))
+    rows = rows.select(*keep, "t", F.when(F.col("t").rlike("[0-9@]"), base_spans(F.col("t"))).otherwise(none).alias("base"))
     tokens = F.when(F.col("t").rlike("[0-9@]"), F.transform(_spans(F.col("t"), TOKEN), _trimmed)).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
     free = F.filter(tokens, lambda x: (x["e"] > x["s"]) & ~F.exists(F.col("base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     occ = F.concat(
         F.transform(F.col("base"), lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"), F.lower(b["v"]).alias("v"), _context(F.col("t"), b["s"], b["e"]).alias("p"))),
         F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(-1).alias("k"), F.lower(x["v"]).alias("v"), _context(F.col("t"), x["s"], x["e"]).alias("p"))),
     )
-    return rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"))).alias("base"), occ.alias("occ"))
+    return rows.select(F.monotonically_increasing_id().alias("rid"), *keep, F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["k"].alias("k"))).alias("base"), occ.alias("occ"))
 
 
 def score_patterns(occ: DataFrame, rounds: int = 3, confident: float = 0.8, support: int = 3) -> DataFrame:
@@ -155,19 +157,24 @@ def score_patterns(occ: DataFrame, rounds: int = 3, confident: float = 0.8, supp
     return conf.where(F.col("c") >= confident).select("p", "kind", "c")
 
 
-def find_personal_data(docs: DataFrame, rounds: int = 3, confident: float = 0.8, support: int = 3) -> DataFrame:
-    """(rid, doc_id, base, spans): one row for each row of docs; spans are base and discovered ones by start, end and kind.
+def scan_and_find(docs: DataFrame, keep: list[str], rounds: int = 3, confident: float = 0.8, support: int = 3) -> DataFrame:
+    """(rid, the columns `keep`, base, spans): one row for each row of docs; spans are base and discovered ones by start, end and kind.
 
     rid numbers the rows of this call. Texts that are null or empty have no spans.
     A token that several trusted patterns claim takes the most confident one's kind.
     """
-    seen = stored(scan(docs), "pii")
+    seen = stored(scan(docs, keep), "pii")
     occ = seen.where(F.size("occ") > 0).select("rid", F.explode("occ").alias("o")).select("rid", "o.s", "o.e", "o.k", "o.v", F.explode("o.p").alias("p"))
     trusted = score_patterns(occ.select("p", "v", "k"), rounds, confident, support)
     new = occ.where("k < 0").join(trusted, "p").groupBy("rid", "s", "e").agg(F.max(F.struct(F.col("c"), (-F.col("kind")).alias("nk"))).alias("best"))
     new = new.groupBy("rid").agg(F.collect_list(F.struct("s", "e", (-F.col("best.nk")).alias("k"))).alias("more"))
-    got = seen.select("rid", "doc_id", "base").join(new, "rid", "left")
-    return got.select("rid", "doc_id", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<s:int,e:int,k:int>>")))).alias("spans"))
+    got = seen.select("rid", *keep, "base").join(new, "rid", "left")
+    return got.select("rid", *keep, "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<s:int,e:int,k:int>>")))).alias("spans"))
+
+
+def find_personal_data(docs: DataFrame, rounds: int = 3, confident: float = 0.8, support: int = 3) -> DataFrame:
+    """scan_and_find with doc_id alone."""
+    return scan_and_find(docs, ["doc_id"], rounds, confident, support)
 
 
 def listed(spans: Column) -> Column:

@@ -160,8 +160,8 @@ def wide_fingerprint(text: str | None, width: int = 5) -> np.ndarray:
     return majority(np.stack(cols, axis=1)).view(np.uint64)
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, tables: int = 64, key_bits: int = 20, most_bits: int = 46) -> DataFrame:
-    """(rid, doc_id, group_id): near-duplicate classes at a 5-shingle similarity of about 0.8 or more.
+def near_duplicate_groups(docs: DataFrame, width: int = 5, tables: int = 64, key_bits: int = 20, most_bits: int = 46, key: str | None = None) -> DataFrame:
+    """(row_id, doc_id, group_id): near-duplicate classes at a 5-shingle similarity of about 0.8 or more.
 
     256-bit SimHashes of word shingles differ in 39 bits on average at a
     similarity of 0.8; fingerprints link at `most_bits` or fewer. Three bits of
@@ -170,22 +170,24 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, tables: int = 64, key
     the points of `tables` random projections on `key_bits` bits (codes of
     covering radius zero). At each anchor the members are compared with its
     first and its last one, a number of comparisons linear in the rows.
-    Rows with equal texts share a group; rows without words form one.
+    Rows with equal texts share a group; rows without words form one. row_id is
+    the column `key` of docs (unique), or a number of the row.
     """
+    rid = F.col(key).cast("long") if key else F.monotonically_increasing_id()
     small_batches(docs.sparkSession)
     rng = np.random.default_rng(20250)
     picks = np.stack([rng.permutation(256)[:key_bits] for _ in range(tables)])
     weights = (1 << np.arange(key_bits, dtype=np.int64))
+    cols = ["f0", "f1", "f2", "f3"]
 
     def run(batches):
         for b in batches:
             fps = np.stack([wide_fingerprint(t, width) for t in b.column(1).to_pylist()]) if b.num_rows else np.zeros((0, 4), np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, i].view(np.int64)) for i in range(4))], ["doc_id", "f0", "f1", "f2", "f3"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(4))], ["doc_id", "row_id", *cols])
 
-    cols = ["f0", "f1", "f2", "f3"]
-    fp = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
-    fp = stored(fp.select("*", F.monotonically_increasing_id().alias("rid")), "wide")
-    distinct = stored(fp.groupBy(cols).agg(F.min("rid").alias("node")), "wide-distinct")
+    fp = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rid.alias("row_id")).mapInArrow(run, "doc_id long, row_id long, f0 long, f1 long, f2 long, f3 long")
+    fp = stored(fp, "wide")
+    distinct = stored(fp.groupBy(cols).agg(F.min("row_id").alias("node")), "wide-distinct")
 
     def keyed(batches):
         for b in batches:
@@ -203,7 +205,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, tables: int = 64, key
     linked = cand.join(side("a"), "a").join(side("b"), "b").where(apart <= most_bits).select("a", "b")
     roots = stored(connected(linked, "near"), "near-roots")
     label = distinct.join(roots, distinct.node == roots.node, "left").select(*cols, F.coalesce("root", distinct.node).alias("group_id"))
-    return fp.join(label, cols).select("rid", "doc_id", "group_id")
+    return fp.join(label, cols).select("row_id", "doc_id", "group_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
