@@ -6,6 +6,7 @@ from strataloom.llm.outliers import op3_outliers
 from strataloom.llm.packing import op10_packing
 from strataloom.llm.pii import op4_pii
 from strataloom.llm.quality import op1_quality
+from strataloom.llm.roles import op5_roles
 from strataloom.llm.simhash import op6_simhash
 from strataloom.llm.toxicity import op8_toxicity
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_hilbert": op2_hilbert,
     "op3_outliers": op3_outliers,
     "op4_pii": op4_pii,
+    "op5_roles": op5_roles,
     "op6_simhash": op6_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
