@@ -110,49 +110,44 @@ class Probe:
         return found
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, agree: float = AGREE, block_words: int = BLOCK_WORDS, key: str | None = None) -> DataFrame:
-    """(rid, doc_id, items, overlap): one row for each row of docs.
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, span: int = SPAN, agree: float = AGREE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs' columns `keep` (doc_id alone unless given) with items and overlap: one row for each row of docs.
 
     items: ids of the benchmark items found in the document, ascending; empty
     for none, and for null and blank texts. overlap: the best verified share,
     0.0 for none. Benchmark rows with null ids or without words match nothing;
-    items shorter than every mask must occur whole. rid is the column `key` of
-    docs, or a number of the row.
+    items shorter than every mask must occur whole.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rid = F.col(key).cast("long") if key else F.monotonically_increasing_id()
-    rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
+    keep = keep or ["doc_id"]
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("__text"))
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    # items in blocks of about block_words words: the words of an item are at most half its characters
-    sized = stored(tests.groupBy("item_id", "text").count().drop("count").withColumn("weight", F.length("text")), "tests")
+    sized = stored(tests.distinct().withColumn("weight", F.length("text")), "tests")
     total = sized.agg(F.sum("weight")).first()[0] or 0
-    blocks = max(1, -(-total // (block_words * 5)))
-    out = None
+    blocks = max(1, -(-total // (block_words * 5)))  # a word takes five characters or so
+    out = rows.withColumns({"items": F.array().cast("array<long>"), "overlap": F.lit(0.0)})
     for k in range(blocks):
         mine = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        items = [(r.item_id, words_of(r.text)) for r in mine.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]  # bounded by block_words
-        hashed = [(i, [WordHashes()[w] for w in ws]) for i, ws in items if ws]
-        one = _scan(rows, hashed, span, agree)
-        out = one if out is None else out.unionByName(one)
-    if blocks > 1:
-        out = out.groupBy("rid", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("overlap").alias("overlap"))
-    return out
+        items = [(r.item_id, words_of(r.text)) for r in mine.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]  # about block_words words
+        out = _scan(out, [(i, [WordHashes()[w] for w in ws]) for i, ws in items if ws], span, agree)
+    return out.drop("__text")
 
 
 def _scan(rows: DataFrame, items: list, span: int, agree: float) -> DataFrame:
+    """rows (..., __text, items, overlap) with what a block of the benchmark adds to the last two."""
     sent = rows.sparkSession.sparkContext.broadcast(items)
+    n = len(rows.columns) - 3
 
     def run(batches):
         probe, hashes = Probe(sent.value, span, agree), WordHashes()
         for b in batches:
-            got = [probe.find(hashes.of(words_of(t))) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([sorted(g) for g in got], pa.list_(pa.int64())), pa.array([max(g.values(), default=0.0) for g in got], pa.float64())],
-                ["rid", "doc_id", "items", "overlap"],
-            )
+            got = [probe.find(hashes.of(words_of(t))) for t in b.column(n).to_pylist()]
+            found = [sorted({*old, *g}) for old, g in zip(b.column(n + 1).to_pylist(), got)]
+            best = [max(g.values(), default=0.0) for g in got]
+            best = [max(x, y) for x, y in zip(best, b.column(n + 2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], pa.array(found, pa.list_(pa.int64())), pa.array(best, pa.float64())], b.schema.names)
 
-    return rows.mapInArrow(run, "rid long, doc_id long, items array<long>, overlap double")
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

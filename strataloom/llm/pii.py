@@ -168,6 +168,7 @@ def scan_and_find(docs: DataFrame, keep: list[str], rounds: int = 3, confident:
     trusted = score_patterns(occ.select("p", "v", "k"), rounds, confident, support)
     new = occ.where("k < 0").join(trusted, "p").groupBy("rid", "s", "e").agg(F.max(F.struct(F.col("c"), (-F.col("kind")).alias("nk"))).alias("best"))
     new = new.groupBy("rid").agg(F.collect_list(F.struct("s", "e", (-F.col("best.nk")).alias("k"))).alias("more"))
+    new = stored(new, "found")  # its true size lets Catalyst spare the texts a shuffle where it is small
     got = seen.select("rid", *keep, "base").join(new, "rid", "left")
     return got.select("rid", *keep, "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<s:int,e:int,k:int>>")))).alias("spans"))
 

@@ -160,7 +160,7 @@ def wide_fingerprint(text: str | None, width: int = 5) -> np.ndarray:
     return majority(np.stack(cols, axis=1)).view(np.uint64)
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, tables: int = 64, key_bits: int = 20, most_bits: int = 46, key: str | None = None) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, width: int = 5, tables: int = 64, key_bits: int | None = None, most_bits: int = 46, key: str | None = None) -> DataFrame:
     """(row_id, doc_id, group_id): near-duplicate classes at a 5-shingle similarity of about 0.8 or more.
 
     256-bit SimHashes of word shingles differ in 39 bits on average at a
@@ -169,15 +169,14 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, tables: int = 64, key
     guarantee for 46 bits of 256 has no selectivity. So the anchors here are
     the points of `tables` random projections on `key_bits` bits (codes of
     covering radius zero). At each anchor the members are compared with its
-    first and its last one, a number of comparisons linear in the rows.
+    first and its last one, a number of comparisons linear in the rows. A
+    projection takes two bits more than the number of distinct fingerprints has
+    (unless `key_bits` says otherwise), so chance meetings also stay linear.
     Rows with equal texts share a group; rows without words form one. row_id is
     the column `key` of docs (unique), or a number of the row.
     """
     rid = F.col(key).cast("long") if key else F.monotonically_increasing_id()
     small_batches(docs.sparkSession)
-    rng = np.random.default_rng(20250)
-    picks = np.stack([rng.permutation(256)[:key_bits] for _ in range(tables)])
-    weights = (1 << np.arange(key_bits, dtype=np.int64))
     cols = ["f0", "f1", "f2", "f3"]
 
     def run(batches):
@@ -188,6 +187,10 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, tables: int = 64, key
     fp = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rid.alias("row_id")).mapInArrow(run, "doc_id long, row_id long, f0 long, f1 long, f2 long, f3 long")
     fp = stored(fp, "wide")
     distinct = stored(fp.groupBy(cols).agg(F.min("row_id").alias("node")), "wide-distinct")
+    key_bits = key_bits or max(12, distinct.count().bit_length() + 2)
+    rng = np.random.default_rng(20250)
+    picks = np.stack([rng.permutation(256)[:key_bits] for _ in range(tables)])
+    weights = 1 << np.arange(key_bits, dtype=np.int64)
 
     def keyed(batches):
         for b in batches:
