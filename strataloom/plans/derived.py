@@ -72,7 +72,7 @@ RELATIONS: dict[str, str] = {
         UNION ALL SELECT c.id, p.id, 'INHERITS' FROM d_class c JOIN d_class p ON p.qn = c.superclass
         UNION ALL SELECT c.id, p.id, 'IMPLEMENTS' FROM d_class c JOIN d_class p ON p.qn = c.iface""",
     "d_ask": """
-        SELECT ts, event_id, 'project' || CAST(user_id AS STRING) AS project, props AS question, nullif(event_type, 'error') AS matched, CAST(value * 100 AS BIGINT) AS answer_bytes, event_type <> 'error' AS ok FROM events""",
+        SELECT ts, event_id, 'project' || CAST(user_id AS STRING) AS project, props AS question, nullif(event_type, 'error') AS matched, CAST(floor(value * 100) AS BIGINT) AS answer_bytes, event_type <> 'error' AS ok FROM events""",
     "d_events": """
         SELECT CAST(user_id AS STRING) AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS tool,
                CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'search' WHEN 'purchase' THEN 'mutate' WHEN 'error' THEN 'inspect' ELSE 'other' END AS operation,

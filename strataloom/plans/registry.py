@@ -265,7 +265,7 @@ on_graph("method_specs", f"{_MTH} WHERE name = (SELECT min(name) FROM d_meth) OR
 on_graph("callers_by_overload", "WITH h AS (SELECT m.key AS method, k.dst, k.src AS caller FROM d_calls k JOIN d_meth m ON m.id = k.dst WHERE m.name = (SELECT min(name) FROM d_meth)) SELECT method, caller, total FROM (SELECT method, caller, count(*) OVER (PARTITION BY dst) AS total, row_number() OVER (PARTITION BY dst ORDER BY caller) AS rn FROM h) z WHERE rn <= 10")(
     lambda g: R.callers_by_overload(g, value(g, "SELECT min(name) FROM d_meth"))
 )
-query("name_segments", r"SELECT k, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')), '\s+'), x -> x <> ''), ',') AS segs FROM d_class")(
+query("name_segments", r"SELECT k, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')), '\s+'), lambda x: x <> ''), ',') AS segs FROM d_class")(
     lambda s, d: relation(s, d, "d_class").select("k", F.array_join(segments("name"), ",").alias("segs"))
 )
 query("word_stems", "SELECT DISTINCT event_type AS w, CASE WHEN event_type LIKE '%ation' AND length(event_type) > 7 THEN substr(event_type, 1, length(event_type) - 5) WHEN event_type LIKE '%s' THEN substr(event_type, 1, length(event_type) - 1) ELSE event_type END AS stem FROM events")(
@@ -286,7 +286,7 @@ on_relation("taxonomy_examples", "d_events", "SELECT session_id, seq, operation
 on_relation("session_summary", "d_events", f"WITH {_FM}, s AS (SELECT session_id, max(fm) AS fm, sum(CASE WHEN {_RD} AND before THEN 1 ELSE 0 END) AS r FROM b GROUP BY session_id) SELECT CAST(sum(CASE WHEN fm IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS with_mutation, CAST(sum(CASE WHEN fm IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_mutation, round(avg(CASE WHEN fm IS NOT NULL THEN r END), 4) AS avg_reads_before FROM s")(
     lambda df: E.session_summary(E.mutation_split(df))
 )
-on_relation("extension_histogram", "pages", r"WITH x AS (SELECT list_filter(regexp_extract_all(lower(url), '\.([a-z0-9]+)\b', 1), y -> y IN ('c','cpp','css','go','gradle','h','html','java','js','json','kt','md','properties','py','rs','sh','sql','toml','ts','txt','xml','yaml','yml'))[1] AS ext FROM pages) SELECT ext, count(*) AS n FROM x WHERE ext IS NOT NULL GROUP BY ext ORDER BY n DESC, ext LIMIT 15")(
+on_relation("extension_histogram", "pages", r"WITH x AS (SELECT list_filter(regexp_extract_all(lower(url), '\.([a-z0-9]+)\b', 1), lambda y: y IN ('c','cpp','css','go','gradle','h','html','java','js','json','kt','md','properties','py','rs','sh','sql','toml','ts','txt','xml','yaml','yml'))[1] AS ext FROM pages) SELECT ext, count(*) AS n FROM x WHERE ext IS NOT NULL GROUP BY ext ORDER BY n DESC, ext LIMIT 15")(
     lambda df: E.extension_histogram(df.withColumn("target", F.col("url")))
 )
 on_relation("top_captures", "pages", r"SELECT capture, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS capture FROM pages) z GROUP BY capture ORDER BY n DESC, capture LIMIT 25")(lambda df: E.top_captures(df, "html", "<([a-z0-9]+)"))
