@@ -168,6 +168,7 @@ def pack(pieces: DataFrame, size: int = WINDOW, per_packer: int = PER_PACKER) ->
     rests = pieces.where(F.col("length") < size).count()
     packers = max(1, -(-rests // per_packer))
     dealt = pieces.repartition(packers, F.xxhash64("doc_id", "start", "ids_crc32"), F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
+    dealt = dealt.sortWithinPartitions(F.xxhash64("doc_id", "start", "ids_crc32"), "doc_id", "start", "ids_crc32")  # a task that runs again places alike
     names = dealt.columns
 
     def run(batches):
