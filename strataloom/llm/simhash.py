@@ -144,11 +144,12 @@ def simhash_components(docs: DataFrame, width: int = 3, threshold: int = 3, dens
 # --- near-duplicates at a similarity, for pipelines ------------------------------------------
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+BANDS, ROWS = 16, 5
+_MULTIPLIERS = np.random.default_rng(20250).integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> np.ndarray:
-    """Four words (256 bits) of SimHash over the set of `width`-word shingles."""
-    h = np.unique(shingle_hashes((text or "").encode(), width))
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """Four words (256 bits) of SimHash over distinct shingle hashes; zeros for none."""
     if not len(h):
         return np.zeros(4, np.uint64)
     cols = [h]
@@ -160,18 +161,32 @@ def wide_fingerprint(text: str | None, width: int = 5) -> np.ndarray:
     return majority(np.stack(cols, axis=1)).view(np.uint64)
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, tables: int = 64, key_bits: int | None = None, most_bits: int = 46, key: str | None = None) -> DataFrame:
-    """(row_id, doc_id, group_id): near-duplicate classes at a 5-shingle similarity of about 0.8 or more.
+def anchor_keys(h: np.ndarray) -> list[int]:
+    """BANDS keys of the set of shingles h: the hash of ROWS minima under as many orders of the shingles, each."""
+    if not len(h):
+        return list(range(BANDS))
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    mixed = h ^ (h >> np.uint64(31))
+    for at in range(0, len(h), 4096):  # bounded memory for very long texts
+        np.minimum(low, (mixed[at : at + 4096, None] * _MULTIPLIERS).min(axis=0), out=low)
+    rows = low.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(r.tobytes(), seed=b) - (1 << 63) for b, r in enumerate(rows)]
+
+
+def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 46, key: str | None = None) -> DataFrame:
+    """(row_id, doc_id, group_id): near-duplicate classes at a similarity of word shingles of about 0.8 or more.
+
+    256-bit SimHashes differ in 39 bits on average at a similarity of 0.8;
+    fingerprints link at `most_bits` or fewer. Three bits of 64 would find only
+    copies of 0.98 and more, and a covering code that guarantees 46 bits of 256
+    has no selectivity, so the anchors here are points that similar sets of
+    shingles meet at: each text is dealt to BANDS of them, each the minima of
+    the set under ROWS orders. Two texts of similarity s share one with
+    probability 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8, whatever the number
+    of texts, and strangers never meet, so an anchor's members are relatives.
+    At each anchor all members are compared with two of them, another two at
+    each anchor: comparisons are linear in the rows, however large a group is.
 
-    256-bit SimHashes of word shingles differ in 39 bits on average at a
-    similarity of 0.8; fingerprints link at `most_bits` or fewer. Three bits of
-    64 would find only copies of 0.98 and more, and a covering code with a
-    guarantee for 46 bits of 256 has no selectivity. So the anchors here are
-    the points of `tables` random projections on `key_bits` bits (codes of
-    covering radius zero). At each anchor the members are compared with its
-    first and its last one, a number of comparisons linear in the rows. A
-    projection takes two bits more than the number of distinct fingerprints has
-    (unless `key_bits` says otherwise), so chance meetings also stay linear.
     Rows with equal texts share a group; rows without words form one. row_id is
     the column `key` of docs (unique), or a number of the row.
     """
@@ -181,34 +196,28 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, tables: int = 64, key
 
     def run(batches):
         for b in batches:
-            fps = np.stack([wide_fingerprint(t, width) for t in b.column(1).to_pylist()]) if b.num_rows else np.zeros((0, 4), np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(4))], ["doc_id", "row_id", *cols])
-
-    fp = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rid.alias("row_id")).mapInArrow(run, "doc_id long, row_id long, f0 long, f1 long, f2 long, f3 long")
-    fp = stored(fp, "wide")
-    distinct = stored(fp.groupBy(cols).agg(F.min("row_id").alias("node")), "wide-distinct")
-    key_bits = key_bits or max(12, distinct.count().bit_length() + 2)
-    rng = np.random.default_rng(20250)
-    picks = np.stack([rng.permutation(256)[:key_bits] for _ in range(tables)])
-    weights = 1 << np.arange(key_bits, dtype=np.int64)
-
-    def keyed(batches):
-        for b in batches:
-            words = np.stack([b.column(i).to_numpy() for i in range(1, 5)], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
-            keys = np.concatenate([bits[:, p].astype(np.int64) @ weights + (t << key_bits) for t, p in enumerate(picks)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(b.column(0).to_numpy(), tables))], ["key", "node"])
-
-    rows = distinct.select("node", *cols).mapInArrow(keyed, "key long, node long")
-    ends = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    cand = rows.join(ends, "key").select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("e"))
+            sets = [np.unique(shingle_hashes((t or "").encode(), width)) for t in b.column(1).to_pylist()]
+            fps = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, 4)
+            same = pa.array([xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) for h in sets], pa.int64())
+            keys = pa.array([anchor_keys(h) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), same, *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(4)), keys], ["doc_id", "row_id", "same", *cols, "keys"])
+
+    fp = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rid.alias("row_id"))
+    fp = stored(fp.mapInArrow(run, "doc_id long, row_id long, same long, f0 long, f1 long, f2 long, f3 long, keys array<long>"), "wide")
+    whole = ["same", *cols]
+    distinct = stored(fp.groupBy(*whole, "keys").agg(F.min("row_id").alias("node")), "wide-distinct")
+    rows = distinct.select("node", F.explode("keys").alias("key"))
+    blind = lambda c: F.col(c).bitwiseXOR(F.xxhash64("key"))  # noqa: E731  another order of the nodes at each anchor
+    ends = rows.groupBy("key").agg(F.min(blind("node")).alias("lo"), F.max(blind("node")).alias("hi")).where("lo <> hi").select("key", blind("lo").alias("lo"), blind("hi").alias("hi"))
+    pair = lambda c: F.struct(F.least(c, "node").alias("a"), F.greatest(c, "node").alias("b"))
+    cand = rows.join(ends, "key").select(F.explode(F.array(pair("lo"), pair("hi"))).alias("e"))
     cand = cand.select("e.*").where("a <> b").distinct()
     side = lambda k: distinct.select(F.col("node").alias(k), *(F.col(c).alias(k + c) for c in cols))
     apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in cols), F.lit(0))
     linked = cand.join(side("a"), "a").join(side("b"), "b").where(apart <= most_bits).select("a", "b")
     roots = stored(connected(linked, "near"), "near-roots")
-    label = distinct.join(roots, distinct.node == roots.node, "left").select(*cols, F.coalesce("root", distinct.node).alias("group_id"))
-    return fp.join(label, cols).select("row_id", "doc_id", "group_id")
+    label = distinct.join(roots, distinct.node == roots.node, "left").select(*whole, F.coalesce("root", distinct.node).alias("group_id"))
+    return fp.select("row_id", "doc_id", *whole).join(label, whole).select("row_id", "doc_id", "group_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
