@@ -16,7 +16,6 @@ that the windows left open are few against those filled, at any input size.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordBpe:
-    """Ids of a lower-casing word-end BPE file, equal to tokenizers.Tokenizer(...).encode(text, add_special_tokens=False).ids.
+class WordBpe(dict):
+    """Words to their ids as little-endian 32-bit bytes, worked out once each; emptied when it grows past `limit`.
+
+    Ids of a lower-casing word-end BPE file, equal to tokenizers.Tokenizer(...).encode(text, add_special_tokens=False).ids.
 
     Texts of Latin letters (below U+0250, where NFC changes nothing and lower
     case is one letter for one) are cut into words here, and each distinct word
@@ -51,9 +52,11 @@ class WordBpe:
     """
 
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    OTHER = regex.compile("[^\\x00-\\u024f]|[\\x1c-\\x1f]|İ|ŉ|ǰ")
+    #: white space to str.split() alone, and letters that NFC or lower case changes in length
+    ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "İ", "ŉ", "ǰ")
 
     def __init__(self, path: str, limit: int = 400_000):
+        super().__init__()
         import json
 
         import tiktoken
@@ -81,32 +84,33 @@ class WordBpe:
             ranks.setdefault(raw(a + b), 1024 + i)
             ids[1024 + i] = vocab[a + b]
         core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
-        self.core, self.ids = core._core_bpe, np.array([ids.get(i, -1) for i in range(1024 + len(pairs))], np.int64)
-        self.limit, self.known, self.pieces = limit, {}, {}
+        self.core, self.ids = core._core_bpe, np.array([ids.get(i, -1) for i in range(1024 + len(pairs))], "<i4")
+        self.limit, self.pieces = limit, {}
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
             if len(self.pieces) >= self.limit:
                 self.pieces.clear()
-            got = self.pieces[piece] = tuple(self.ids[self.core.encode_single_piece(piece.encode() + b"\xff")].tolist())
+            got = self.pieces[piece] = self.ids[self.core.encode_single_piece(piece.encode() + b"\xff")].tobytes()
         return got
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self.known) >= self.limit:
-            self.known.clear()
-        got = self.known[word] = tuple(chain.from_iterable(map(self._piece, self.WORDS.findall(word.lower()))))
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        got = self[word] = b"".join(map(self._piece, self.WORDS.findall(word.lower())))
         return got
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.OTHER.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        known, miss = self.known, self.__missing__
-        out: list[int] = []
-        for word in text.split():
-            got = known.get(word)
-            out += got if got is not None else miss(word)
-        return np.array(out, np.uint32)
+    def _latin(self, text: str) -> bool:
+        if not text.isascii() and np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max() > 0x24F:
+            return False
+        return not any(c in text for c in self.ODD)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, little-endian 32-bit."""
+        if not self._latin(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 class Packer:
@@ -145,22 +149,22 @@ class Packer:
 def token_pieces(docs: DataFrame, path: str, size: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row for each piece of at most `size` ids of each row of docs; a null text is empty and gives the end id alone."""
     small_batches(docs.sparkSession)
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         bpe = WordBpe(path)
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(bpe.encode(text or ""), np.uint32(end_id)).astype("<u4")
-                for at in range(0, len(ids), size):
-                    cut = ids[at : at + size]
-                    rows.append((doc, at, len(cut), zlib.crc32(cut.tobytes()), len(ids)))
+                ids = bpe.encode(text or "") + end
+                for at in range(0, len(ids), 4 * size):
+                    cut = ids[at : at + 4 * size]
+                    rows.append((doc, at // 4, len(cut) // 4, zlib.crc32(cut), len(ids) // 4))
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema.rpartition(",")[0])
-    return got
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, size: int = WINDOW, per_packer: int = PER_PACKER) -> DataFrame:
