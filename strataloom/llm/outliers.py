@@ -118,18 +118,25 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", total).drop(*(f"y{i}" for i in range(len(STATS))))
 
 
-def mcd(rows: DataFrame, keys: list[str], keep: float = 0.75, steps: int = 3) -> DataFrame:
-    """m_i, l_i_j and `scale` (the median squared distance over the chi-square median, at least 1) for each group of rows."""
+def mcd(rows: DataFrame, keys: list[str], keep: float = 0.75, steps: int = 3, salts: int = 32) -> DataFrame:
+    """m_i, l_i_j and `scale` (the median squared distance over the chi-square median, at least 1) for each group of rows.
+
+    Where rows meet their group's estimate they are dealt by group and salt, so
+    a group of any share of the rows is spread over `salts` tasks.
+    """
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*STATS), F.lit(salts)).cast("int"))
+    salted = lambda model: model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    by = [*keys, "salt"]
     centre = rows.groupBy(*keys).agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(STATS)))
-    spread = rows.join(centre, keys).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(len(STATS))), *(F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, c in enumerate(STATS)))
-    near = rows.join(spread, keys)
+    spread = rows.join(salted(centre), by).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(len(STATS))), *(F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, c in enumerate(STATS)))
+    near = rows.join(salted(spread), by)
     first = sum((F.pow((F.col(c) - F.col(f"m{i}")) / (1.4826 * F.col(f"s{i}") + F.lit(FLOOR[c])), 2) for i, c in enumerate(STATS)), F.lit(0.0))
     near = near.withColumn("d2", first)
     for _ in range(steps + 1):
         cut = near.groupBy(*keys).agg(F.percentile_approx("d2", keep, 1000).alias("cut"))
-        inner = near.select(*keys, *STATS, "d2").join(cut, keys).where("d2 <= cut")
+        inner = near.select(*by, *STATS, "d2").join(salted(cut), by).where("d2 <= cut")
         model = stored(_moments(inner, keys), "mcd")
-        near = _distance(rows.join(model, keys))
+        near = _distance(rows.join(salted(model), by))
     scale = near.groupBy(*keys).agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
     return model.join(scale, keys)
 
