@@ -71,19 +71,26 @@ def role_code(role: str | None) -> int:
     return ROLES.index(r) if r in ROLES else -1
 
 
+#: The moves of a role from each state, in order, and its matrix as lists: quicker row by row than arrays.
+FROM = {r: [[m[1:] for m in moves if m[0] == s] for s in range(4)] for r, moves in MOVES.items()}
+LISTS = {r: m.tolist() for r, m in MATRICES.items()}
+
+
 def walk(roles: list[int], entry: int, exit_state: int) -> list[tuple[int, str, int, int]]:
     """The cheapest (cost, action, role, inserted role) for each turn from entry to exit; ties go to the first move in order."""
-    back = np.full((len(roles) + 1, 4), BIG, np.int64)  # cost from here to the exit
-    back[-1, exit_state] = 0
-    for i in range(len(roles) - 1, -1, -1):
-        back[i] = np.minimum((MATRICES[roles[i]] + back[i + 1][None, :]).min(axis=1), BIG)
+    after = [BIG] * 4  # cost from here to the exit
+    after[exit_state] = 0
+    back = [after]
+    for r in reversed(roles):
+        after = [min(BIG, *(c + b for c, b in zip(row, after))) for row in LISTS[r]]
+        back.append(after)
+    back.reverse()
     out, s = [], entry
     for i, r in enumerate(roles):
-        for a, t, c, what, given, put in MOVES[r]:
-            if a == s and c + back[i + 1, t] == back[i, s]:
-                out.append((c, what, given, put))
-                s = t
-                break
+        want, then = back[i][s], back[i + 1]
+        t, c, what, given, put = next(m for m in FROM[r][s] if m[1] + then[m[0]] == want)
+        out.append((c, what, given, put))
+        s = t
     return out
 
 
@@ -117,16 +124,18 @@ def repair(turns: DataFrame, block: int = 2048, partitions: int | None = None) -
         pdf = pdf.sort_values("seq")
         convs = [None if pd.isna(c) else int(c) for c in pdf.conv_id]
         roles = [role_code(None if pd.isna(r) else r) for r in pdf.role]
-        out = []
-        for a, b in _stretches(np.array(roles), convs):
+        out, runs = [], _stretches(np.array(roles), convs)
+        for k, (a, b) in enumerate(runs):
             m = MATRICES[roles[a]]
             for r in roles[a + 1 : b]:
                 m = product(m, MATRICES[r])
-            out.append((convs[a], int(pdf.part.iloc[0]), int(pdf.block.iloc[0]), *m.ravel().tolist()))
-        return pd.DataFrame(out, columns=["conv_id", "part", "block", *(f"m{i}" for i in range(16))])
+            edge = k in (0, len(runs) - 1)  # others are whole conversations
+            out.append((convs[a], int(pdf.part.iloc[0]), int(pdf.block.iloc[0]), edge, START, int(np.argmin(m[START] + FINAL)), *m.ravel().tolist()))
+        return pd.DataFrame(out, columns=["conv_id", "part", "block", "edge", "entry", "exit", *(f"m{i}" for i in range(16))])
 
     cells = ", ".join(f"m{i} long" for i in range(16))
-    stretch = stored(rows.select("conv_id", "role", "part", "block", "seq").groupBy(*grouped).applyInPandas(fold, f"conv_id long, part long, block long, {cells}"), "stretches")
+    turns_only = rows.select("conv_id", "role", "part", "block", "seq").repartition(n, *grouped)  # a number given: small rows are not gathered in one task
+    stretch = stored(turns_only.groupBy(*grouped).applyInPandas(fold, f"conv_id long, part long, block long, edge boolean, entry long, exit long, {cells}"), "stretches")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         """Entry and exit states of each stretch of one conversation: one row for each `block` of its turns."""
@@ -144,7 +153,9 @@ def repair(turns: DataFrame, block: int = 2048, partitions: int | None = None) -
         pdf["entry"], pdf["exit"], pdf["last"] = zip(*states)
         return pdf[["conv_id", "part", "block", "entry", "exit", "last"]]
 
-    ends = stretch.groupBy("conv_id").applyInPandas(chain, "conv_id long, part long, block long, entry long, exit long, last boolean")
+    cut = stretch.where("edge").drop("edge", "entry", "exit").groupBy("conv_id")  # at most two for each block
+    ends = cut.applyInPandas(chain, "conv_id long, part long, block long, entry long, exit long, last boolean")
+    ends = ends.unionByName(stretch.where("not edge").select("conv_id", "part", "block", "entry", "exit", F.lit(True).alias("last")))
     ends = ends.select("part", "block", F.struct("conv_id", "entry", "exit", "last").alias("e")).groupBy("part", "block").agg(F.collect_list("e").alias("ends"))  # at most one for each row of a block
 
     def settle(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -164,7 +175,7 @@ def repair(turns: DataFrame, block: int = 2048, partitions: int | None = None) -
         return got
 
     schema = "seq long, action string, cost long, new_role string, inserted string, closing string, first boolean, end boolean"
-    settled = rows.select("conv_id", "role", "part", "block", "seq").groupBy(*grouped).cogroup(ends.groupBy(*grouped)).applyInPandas(settle, schema)
+    settled = turns_only.groupBy(*grouped).cogroup(ends.groupBy(*grouped)).applyInPandas(settle, schema)
     got = rows.join(settled, "seq")
     opened = F.concat(
         F.when(F.col("first"), F.lit("")).otherwise(F.lit("<|end|>\n")),
