@@ -173,11 +173,13 @@ def anchor_keys(h: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(r.tobytes(), seed=b) - (1 << 63) for b, r in enumerate(rows)]
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 46, key: str | None = None) -> DataFrame:
-    """(row_id, doc_id, group_id): near-duplicate classes at a similarity of word shingles of about 0.8 or more.
+def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80, key: str | None = None) -> DataFrame:
+    """(row_id, doc_id, group_id): near-duplicate classes at a similarity (Jaccard) of word shingles of 0.8 or more.
 
-    256-bit SimHashes differ in 39 bits on average at a similarity of 0.8;
-    fingerprints link at `most_bits` or fewer. Three bits of 64 would find only
+    Links are decided by the shingle sets themselves. 256-bit SimHashes only
+    spare comparisons: at a similarity of 0.8 they differ in 39 bits on average
+    (48 in the shortest texts, spread 6), so few pairs of that similarity
+    differ in more than `most_bits`. Three bits of 64 would find only
     copies of 0.98 and more, and a covering code that guarantees 46 bits of 256
     has no selectivity, so the anchors here are points that similar sets of
     shingles meet at: each text is dealt to BANDS of them, each the minima of
@@ -199,22 +201,41 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 46,
             sets = [np.unique(shingle_hashes((t or "").encode(), width)) for t in b.column(1).to_pylist()]
             fps = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, 4)
             same = pa.array([xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) for h in sets], pa.int64())
+            sizes = pa.array([len(h) for h in sets], pa.int64())
             keys = pa.array([anchor_keys(h) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), same, *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(4)), keys], ["doc_id", "row_id", "same", *cols, "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), same, *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(4)), sizes, keys], ["doc_id", "row_id", "same", *cols, "size", "keys"])
 
-    fp = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rid.alias("row_id"))
-    fp = stored(fp.mapInArrow(run, "doc_id long, row_id long, same long, f0 long, f1 long, f2 long, f3 long, keys array<long>"), "wide")
+    def shingles(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes((t or "").encode(), width)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rid.alias("row_id"))
+    if key is None:
+        texts = stored(texts, "numbered")  # read twice: the numbers must not change
+    fp = stored(texts.mapInArrow(run, "doc_id long, row_id long, same long, f0 long, f1 long, f2 long, f3 long, size long, keys array<long>"), "wide")
     whole = ["same", *cols]
-    distinct = stored(fp.groupBy(*whole, "keys").agg(F.min("row_id").alias("node")), "wide-distinct")
+    distinct = stored(fp.groupBy(*whole, "size", "keys").agg(F.min("row_id").alias("node")), "wide-distinct")
     rows = distinct.select("node", F.explode("keys").alias("key"))
     blind = lambda c: F.col(c).bitwiseXOR(F.xxhash64("key"))  # noqa: E731  another order of the nodes at each anchor
     ends = rows.groupBy("key").agg(F.min(blind("node")).alias("lo"), F.max(blind("node")).alias("hi")).where("lo <> hi").select("key", blind("lo").alias("lo"), blind("hi").alias("hi"))
-    pair = lambda c: F.struct(F.least(c, "node").alias("a"), F.greatest(c, "node").alias("b"))
-    cand = rows.join(ends, "key").select(F.explode(F.array(pair("lo"), pair("hi"))).alias("e"))
-    cand = cand.select("e.*").where("a <> b").distinct()
-    side = lambda k: distinct.select(F.col("node").alias(k), *(F.col(c).alias(k + c) for c in cols))
+    met = stored(rows.join(ends, "key"), "near-met")
+    kin = stored(met.select("node").distinct(), "near-kin")
+    sets = stored(texts.join(kin, F.col("row_id") == F.col("node"), "left_semi").select("row_id", "text").mapInArrow(shingles, "node long, shingles array<long>"), "near-shingles")
+
+    side = lambda k: distinct.select(F.col("node").alias(k), *(F.col(c).alias(k + c) for c in [*cols, "size"]))
     apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in cols), F.lit(0))
-    linked = cand.join(side("a"), "a").join(side("b"), "b").where(apart <= most_bits).select("a", "b")
+    alike = (apart <= most_bits) & (5 * F.least("asize", "bsize") >= 4 * F.greatest("asize", "bsize"))  # sizes further apart cannot reach 0.8
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more."""
+        pairs = stored(pairs, name)
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+    pair = lambda c: F.struct(F.least(c, "node").alias("a"), F.greatest(c, "node").alias("b"))
+    cand = met.select(F.explode(F.array(pair("lo"), pair("hi"))).alias("e")).select("e.*").where("a <> b").distinct()
+    linked = verified(cand.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "near-pairs")
     roots = stored(connected(linked, "near"), "near-roots")
     label = distinct.join(roots, distinct.node == roots.node, "left").select(*whole, F.coalesce("root", distinct.node).alias("group_id"))
     return fp.select("row_id", "doc_id", *whole).join(label, whole).select("row_id", "doc_id", "group_id")

@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from strataloom.llm.simhash import fingerprint, links, near_duplicate_groups, op6_simhash, simhash_components
+from strataloom.llm.simhash import anchor_keys, fingerprint, links, near_duplicate_groups, op6_simhash, shingle_hashes, simhash_components, wide_fingerprint
 
-from .corpora import Union, empty, near_copies, odd, odd_rows, words
+from .corpora import Union, empty, near_copies, odd, odd_rows, prose, words
 
 
 def brute_fingerprint(text):
@@ -113,3 +114,27 @@ def test_near_duplicate_groups_find_every_similar_pair(spark, small):
     for members in joined.values():  # each has a relative in its group
         for d in members:
             assert len(members) == 1 or max(jaccard(sets[d], sets[e]) for e in members if e != d) > 0.55
+
+
+def sketch(text):
+    """Shingle set, wide fingerprint as bits, anchors."""
+    h = np.unique(shingle_hashes(text.encode(), 5))
+    return set(h.tolist()), int.from_bytes(wide_fingerprint(h).tobytes(), "little"), set(anchor_keys(h))
+
+
+def test_shingles_decide_and_not_bits(spark):
+    rng, rows, want = random.Random(11), [], {}
+    far = near = 0
+    while far < 6 or near < 6:
+        base = prose(rng, 204, 10**6).split()
+        changed = 22 if far < 6 else 40  # similarities of 0.80 and 0.67
+        other = [*base[: -changed], *prose(rng, changed, 10**6).split()]
+        (s, x, k), (t, y, m) = sketch(" ".join(base)), sketch(" ".join(other))
+        bits = (x ^ y).bit_count()
+        if not k & m or (bits <= 46) == (jaccard(s, t) >= 0.8):
+            continue  # no meeting, or 46 bits would have told
+        far, near = far + (bits > 46), near + (bits <= 46)
+        want[len(rows)] = jaccard(s, t) >= 0.8
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    found = {r.doc_id: r.group_id for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: found[d] == found[d + 1] for d in want} == want
