@@ -173,7 +173,22 @@ def anchor_keys(h: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(r.tobytes(), seed=b) - (1 << 63) for b, r in enumerate(rows)]
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80, key: str | None = None) -> DataFrame:
+def _rare(sets: DataFrame) -> DataFrame:
+    """(key, node, root) of sets(node, root, shingles): the shingles of each set, rarest first, up to one more than a fifth.
+
+    Two sets with a Jaccard similarity of 0.8 share four fifths of either; so
+    of either, the first of the shared shingles in any common order is among
+    the first fifth and one. Shingles of one set alone are left out.
+    """
+    each = sets.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("often"))
+    order = F.sort_array(F.collect_list(F.struct("often", "key")))
+    first = each.join(often, "key").groupBy("node", "root", "n").agg(order.alias("s"))
+    first = first.select("node", "root", F.explode(F.slice("s", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int"))).alias("x"))
+    return first.where("x.often > 1").select("x.key", "node", "root")
+
+
+def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80, key: str | None = None, small: int = 64) -> DataFrame:
     """(row_id, doc_id, group_id): near-duplicate classes at a similarity (Jaccard) of word shingles of 0.8 or more.
 
     Links are decided by the shingle sets themselves. 256-bit SimHashes only
@@ -185,9 +200,17 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80,
     shingles meet at: each text is dealt to BANDS of them, each the minima of
     the set under ROWS orders. Two texts of similarity s share one with
     probability 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8, whatever the number
-    of texts, and strangers never meet, so an anchor's members are relatives.
-    At each anchor all members are compared with two of them, another two at
-    each anchor: comparisons are linear in the rows, however large a group is.
+    of texts.
+
+    At each anchor all members are first compared with two of them, another two
+    at each anchor. That joins most of a large group in comparisons linear in
+    its rows, but members of unlike texts (a shared passage can hold all minima)
+    may resemble each other and neither of the two. So at each anchor whose
+    members are not all joined yet, all pairs across components follow: at
+    anchors of up to `small` members directly, and for members of larger ones
+    wherever the rarest fifth of their shingles meets, which no pair of
+    similarity 0.8 escapes (see `_rare`). Every pair of similarity 0.8 or more that
+    meets ends in one group.
 
     Rows with equal texts share a group; rows without words form one. row_id is
     the column `key` of docs (unique), or a number of the row.
@@ -236,6 +259,20 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80,
     pair = lambda c: F.struct(F.least(c, "node").alias("a"), F.greatest(c, "node").alias("b"))
     cand = met.select(F.explode(F.array(pair("lo"), pair("hi"))).alias("e")).select("e.*").where("a <> b").distinct()
     linked = verified(cand.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "near-pairs")
+    linked = stored(linked, "near-linked")
+    roots = stored(connected(linked, "near"), "near-roots")
+
+    member = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    member = stored(member, "near-members")
+    open_keys = stored(member.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r <> s").select("key", "n"), "near-open")
+    rest = member.join(open_keys, "key").select("key", "node", "root", "n")
+    few = rest.where(F.col("n") <= small).select("key", "node", "root")
+    many = stored(rest.where(F.col("n") > small).select("node", "root").distinct(), "near-crowd")
+    rare = _rare(sets.join(many, "node"))
+    left = few.unionByName(rare).join(distinct.select("node", "size", *cols), "node")
+    ab = lambda k: left.select("key", *(F.col(c).alias(k + c) for c in ["root", "size", *cols]), F.col("node").alias(k))
+    more = ab("a").join(ab("b"), "key").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & alike)
+    linked = linked.unionByName(verified(more.select("a", "b").distinct(), "near-rest"))
     roots = stored(connected(linked, "near"), "near-roots")
     label = distinct.join(roots, distinct.node == roots.node, "left").select(*whole, F.coalesce("root", distinct.node).alias("group_id"))
     return fp.select("row_id", "doc_id", *whole).join(label, whole).select("row_id", "doc_id", "group_id")

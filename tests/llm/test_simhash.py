@@ -138,3 +138,28 @@ def test_shingles_decide_and_not_bits(spark):
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
     found = {r.doc_id: r.group_id for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {d: found[d] == found[d + 1] for d in want} == want
+
+
+def test_pairs_within_a_shared_passage_meet(spark):
+    rng, texts = random.Random(23), []
+    passage = prose(rng, 81, 10**6)
+    for _ in range(150):  # 0.80 alike; 0.63 and less to all others
+        both = prose(rng, 12, 10**6)
+        texts += [f"{passage} {both} {prose(rng, 11, 10**6)}" for _ in range(2)]
+    sketches = [sketch(t) for t in texts]
+    want = Union()
+    for i, (s, _, k) in enumerate(sketches):
+        want.find(i)
+        for j, (t, _, m) in enumerate(sketches[:i]):
+            if k & m and jaccard(s, t) >= 0.8:
+                want.join(i, j)
+    assert sum(want.find(i) != i for i in range(len(texts))) > 120
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for small in (64, 10**6):  # by rare shingles, and pair by pair
+        found = {r.doc_id: r.group_id for r in near_duplicate_groups(docs, small=small).collect()}
+        first = {}
+        for d in sorted(found):
+            first.setdefault(found[d], d)
+        for i in range(len(texts)):  # whoever meets is joined; by rare shingles a pair that shares no anchor may be too
+            assert found[i] == found[want.find(i)]
+            assert first[found[i]] >= i - 1
