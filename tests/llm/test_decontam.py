@@ -1,6 +1,9 @@
 import random
+from itertools import combinations
 
-from strataloom.llm.decontam import MASKS, find_overlaps, op9_decontamination, words_of
+import numpy as np
+
+from strataloom.llm.decontam import AGREE, MASKS, SPAN, Probe, find_overlaps, op9_decontamination, words_of
 
 from .corpora import empty, odd, odd_rows, prose
 
@@ -66,3 +69,14 @@ def test_whole_table_finds_whole_items(spark, small):
     assert any(holds.values())
     for d, items in holds.items():
         assert {str(i) for i in items} <= got[d]
+
+
+def test_every_pattern_of_substitutions_is_found():
+    for n in range(8, 14):
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        probe = Probe([(1, list(item))], SPAN, AGREE)
+        for k in range(n // 4 + 1):
+            for gone in combinations(range(n), k):
+                doc = item.copy()
+                doc[list(gone)] = 99
+                assert 1 in probe.find(doc), (n, gone)
