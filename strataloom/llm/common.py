@@ -2,46 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.storage import dropped, shared_dir, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strataloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
+__all__ = ["Memo", "WordHashes", "connected", "dropped", "held_out", "shared_dir", "small_batches", "stored", "table"]
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
 
-    Cuts the lineage, survives lost executors, gives Catalyst real sizes and
-    makes ids such as monotonically_increasing_id() stable.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows: texts can be megabytes long."""
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Arrow batches of few rows and about `size` bytes: texts can be megabytes long. Holds for the session, since plans run later."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def held_out(doc_id) -> "F.Column":
@@ -49,53 +28,60 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-class WordHashes(dict):
-    """Memoised XXH64 of words; emptied when it grows past `limit` entries."""
+class Memo(dict):
+    """Values of make(key), worked out once each. Beyond `limit` entries the older generation is forgotten; what is in use comes back."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000):
+    def __init__(self, make, limit: int = 400_000):
         super().__init__()
-        self.seed, self.limit = seed, limit
+        self.make, self.limit, self.old = make, limit, {}
 
-    def __missing__(self, word):
+    def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, seed=self.seed)
-        return h
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+
+class WordHashes(Memo):
+    """XXH64 of words."""
+
+    def __init__(self, seed: int = 0, limit: int = 400_000):
+        super().__init__(lambda word: xxhash.xxh64_intdigest(word, seed=seed), limit)
 
     def of(self, words) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def connected(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Components of undirected links (a, b), a != b: rows (node, root), root the least node.
 
-    Alternates large-star and small-star; every round is written to the shared
-    folder. Each node's neighbours are only aggregated (min), never gathered,
-    and the joins that follow may be split by adaptive execution if a hub is hot.
+    Alternates large-star and small-star until the links stand still, however
+    many rounds that takes. Each node's neighbours are only aggregated (min),
+    never gathered; what they are joined with is stored first, so adaptive
+    execution knows its size and may split the partition of a hub. Each round's
+    tables are deleted once the next is written. No links give no rows.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = stored(edges, name)
+    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
 
     def mark(df):
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return tuple(row)
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     seen = mark(edges)
-    for _ in range(max_rounds):
-        if seen[0] == 0:
-            break
+    while seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.*").where("a <> b").distinct()
-        )
-        edges = stored(small, name)
-        now = mark(edges)
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        large = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = stored(large.join(low, "a").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct(), name)
+        now = mark(small)
+        for old in (edges, least, large, low):
+            dropped(old)
+        edges = small
         if now == seen:
             break
         seen = now
