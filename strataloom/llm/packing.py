@@ -15,15 +15,17 @@ that the windows left open are few against those filled, at any input size.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import small_batches, stored, table
+from strataloom.llm.common import Memo, small_batches, stored, table
 
 WINDOW = 4096
 END_ID = 2
@@ -37,35 +39,39 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordBpe(dict):
-    """Words to their ids as little-endian 32-bit bytes, worked out once each; emptied when it grows past `limit`.
+def _letters(kind: str) -> str:
+    """The characters below U+0250 of a general category, for a character class."""
+    return "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == kind)
 
-    Ids of a lower-casing word-end BPE file, equal to tokenizers.Tokenizer(...).encode(text, add_special_tokens=False).ids.
+
+class WordBpe:
+    """Ids of a lower-casing word-end BPE file, equal to tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids.
 
     Texts of Latin letters (below U+0250, where NFC changes nothing and lower
-    case is one letter for one) are cut into words here, and each distinct word
-    is encoded once: by the file's merges, run as ranks, where the end of a word
-    is a byte that UTF-8 never uses. Merging by rank of the result and merging
-    by rank of the pair agree where every token's own bytes merge into it, as
-    they do here; the tests hold both against each other. All other texts go to
-    the tokenizers library as they are.
+    case is one letter for one) are cut into pieces here, and each distinct
+    piece is encoded once: by the file's merges, run as ranks, where the end of
+    a word is a byte that UTF-8 never uses. Merging by rank of the result and
+    merging by rank of the pair agree where every token's own bytes merge into
+    it, as they do here; the tests hold both against each other. All other
+    texts, and those that hold the string of a special token, which the file
+    reads as that token, go to the tokenizers library as they are.
     """
 
-    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    #: white space to str.split() alone, and letters that NFC or lower case changes in length
+    L, N = _letters("L"), _letters("N")
+    LATIN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{L}]+|[{N}]|[^\s{L}{N}]+")
+    ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    #: white space to str alone, and letters that NFC or lower case changes in length
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "İ", "ŉ", "ǰ")
 
     def __init__(self, path: str, limit: int = 400_000):
-        super().__init__()
-        import json
-
         import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        self.special = tuple(t["content"] for t in file["added_tokens"])
         vocab, letter = model["vocab"], _byte_letters()
         back = {c: b for b, c in letter.items()}
         suffix = model["end_of_word_suffix"]
@@ -83,34 +89,27 @@ class WordBpe(dict):
         for i, (a, b) in enumerate(pairs):
             ranks.setdefault(raw(a + b), 1024 + i)
             ids[1024 + i] = vocab[a + b]
-        core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
-        self.core, self.ids = core._core_bpe, np.array([ids.get(i, -1) for i in range(1024 + len(pairs))], "<i4")
-        self.limit, self.pieces = limit, {}
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            got = self.pieces[piece] = self.ids[self.core.encode_single_piece(piece.encode() + b"\xff")].tobytes()
-        return got
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        got = self[word] = b"".join(map(self._piece, self.WORDS.findall(word.lower())))
-        return got
-
-    def _latin(self, text: str) -> bool:
-        if not text.isascii() and np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max() > 0x24F:
-            return False
-        return not any(c in text for c in self.ODD)
+        core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        numbers = np.array([ids.get(i, -1) for i in range(1024 + len(pairs))], "<i4")
+        self.pieces = Memo(lambda piece: numbers[core.encode_single_piece(piece.encode() + b"\xff")].tobytes(), limit)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, little-endian 32-bit."""
-        if not self._latin(text):
+        ascii = text.isascii()
+        latin = ascii or np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max() <= 0x24F
+        if not latin or any(c in text for c in self.ODD) or any(c in text for c in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.pieces.__getitem__, (self.ASCII if ascii else self.LATIN).findall(text.lower())))
+
+
+_READY: dict[str, WordBpe] = {}
+
+
+def word_bpe(path: str) -> WordBpe:
+    """One for each worker process and file: workers serve many tasks."""
+    if path not in _READY:
+        _READY[path] = WordBpe(path)
+    return _READY[path]
 
 
 class Packer:
@@ -147,13 +146,19 @@ class Packer:
 
 
 def token_pieces(docs: DataFrame, path: str, size: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row for each piece of at most `size` ids of each row of docs; a null text is empty and gives the end id alone."""
+    """One row for each piece of at most `size` ids of each row of docs.
+
+    A null or empty text gives the end id alone. Texts of any length are
+    encoded whole and cut afterwards; repeated rows give their pieces each;
+    null ids stay null. Columns other than doc_id and text are not read. No
+    rows give none.
+    """
     small_batches(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        bpe = WordBpe(path)
+        bpe = word_bpe(path)
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -168,7 +173,11 @@ def token_pieces(docs: DataFrame, path: str, size: int = WINDOW, end_id: int = E
 
 
 def pack(pieces: DataFrame, size: int = WINDOW, per_packer: int = PER_PACKER) -> DataFrame:
-    """pieces with sequence_id and offset. Full pieces have a sequence of their own; repeated rows are packed each."""
+    """pieces with sequence_id and offset.
+
+    Full pieces have a sequence of their own; repeated rows are packed each,
+    and equal costs go to the fullest window. No pieces give no rows.
+    """
     rests = pieces.where(F.col("length") < size).count()
     packers = max(1, -(-rests // per_packer))
     dealt = pieces.repartition(packers, F.xxhash64("doc_id", "start", "ids_crc32"), F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
@@ -192,6 +201,7 @@ def pack(pieces: DataFrame, size: int = WINDOW, per_packer: int = PER_PACKER) ->
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = WINDOW, per_packer: int = PER_PACKER) -> DataFrame:
+    """The pieces of token_pieces, packed: see there and `pack` for nulls, empty and long texts, repeated rows and empty tables."""
     pieces = stored(token_pieces(docs, path, size), "pieces")
     return pack(pieces, size, per_packer)
 
@@ -203,4 +213,5 @@ def vocabulary() -> str:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each piece of each document: see pack_documents."""
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())

@@ -13,9 +13,7 @@ from .corpora import empty, odd, odd_rows
 
 @pytest.fixture(scope="module")
 def whole():
-    t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary())
 
 
 def check(rows, texts, whole, size=4096):
@@ -59,6 +57,15 @@ def test_ids_equal_those_of_the_library(whole):
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_strings_of_special_tokens_are_read_as_the_file_reads_them(spark, whole):
+    bpe = WordBpe(vocabulary())
+    for text in ("hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|>b", "<|ENDOFTEXT|> <|endoftext >", "é <|endoftext|> ß", "<|endoftext|><|endoftext|>"):
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert 49407 in whole.encode("hello <|endoftext|> world", add_special_tokens=False).ids
+    rows = [(1, "hello <|endoftext|> world"), (2, "<|startoftext|>")]
+    check(pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary(), 8).collect(), rows, whole, 8)
+
+
 def test_each_place_minimises_the_sum_of_squares():
     rng, packer, counts = random.Random(1), Packer(50), [0] * 51
     for _ in range(2000):
