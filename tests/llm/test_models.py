@@ -57,9 +57,22 @@ def test_bradley_terry_recovers_a_ranking():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, len(NAMES)))
     y = (x[:, 0] - 2 * x[:, 3] + 0.1 * rng.normal(size=600) > 0).astype(int)
-    w, _, _ = fit_pairs(x, y)
+    w = fit_pairs(x, y)
     assert area(x @ w, y) > 0.99 and w[0] > 0 > w[3]
-    assert not fit_pairs(x, np.ones(600))[0].any()
+    assert not fit_pairs(x, np.ones(600)).any()
+
+
+def test_blank_texts_score_below_the_cut_unless_labels_say_otherwise(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["good", "words", "here"]) + str(rng.randrange(50)) for _ in range(60)) if i % 2 else "## || " * 20) for i in range(200)]
+    rows += [(200 + i, [None, "", " \n\t"][i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    more = few.unionByName(spark.createDataFrame([(200 + i, 1) for i in range(90)], "doc_id long, quality int"))
+    for labels, above in ((few, False), (more, True)):
+        got = {r.doc_id: r.score for r in score_quality(docs, fit_quality(docs, labels)).collect()}
+        assert len({got[i] for i in range(200, 290)}) == 1 and (got[200] >= 0.3) == above
+        assert np.mean([got[i] >= 0.3 for i in range(1, 200, 2)]) > 0.9 and np.mean([got[i] >= 0.3 for i in range(0, 200, 2)]) < 0.1
 
 
 def slow_ftrl(rows, size, epochs, alpha, beta, l1, l2):
