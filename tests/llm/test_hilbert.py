@@ -1,10 +1,12 @@
+import random
 import zlib
 from collections import Counter
 from itertools import product
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from strataloom.llm.hilbert import hilbert_index, op2_hilbert, shard_documents, write_shards
+from strataloom.llm.hilbert import below, document_rows, hilbert_index, hilbert_shards, numbered, op2_hilbert, shard_documents, write_shards
 
 from .corpora import empty, odd, odd_rows
 
@@ -38,17 +40,40 @@ def test_whole_table(spark, small):
 
 
 def test_shards_prune_by_every_dimension(spark, small):
-    rows = shard_documents(spark.read.parquet(f"{small}/documents.parquet"))
-    langs = [r.n for r in rows.groupBy("shard").agg({"lang": "count", "source": "count"}).selectExpr("1 as n").collect()]
-    assert len(langs) == 8
-    seen = rows.selectExpr("shard", "curve").groupBy("shard").agg({"curve": "min"}).count()
-    assert seen == 8
+    rows = shard_documents(spark.read.parquet(f"{small}/documents.parquet")).collect()
+    rng = random.Random(1)
+    dealt = [rng.randrange(8) for _ in rows]
+    for dim in ("lang", "source", "size", "doc_id"):
+        values = sorted({getattr(r, dim) for r in rows})
+        values = values[:: max(1, len(values) // 40)]
+
+        def read(shards):
+            """Shards whose least and greatest value leave a wanted value possible, on average."""
+            reach = {}
+            for r, s in zip(rows, shards):
+                v = getattr(r, dim)
+                lo, hi = reach.get(s, (v, v))
+                reach[s] = (min(lo, v), max(hi, v))
+            return np.mean([sum(lo <= v <= hi for lo, hi in reach.values()) for v in values])
+
+        assert read([r.shard for r in rows]) < 0.9 * read(dealt), dim
 
 
 def test_odd_rows_and_files(spark, tmp_path):
     check(shard_documents(odd(spark)).collect(), [(r[0], r[1]) for r in odd_rows()])
     assert shard_documents(empty(spark)).count() == 0
-    docs = spark.createDataFrame([(i, "x" * i, "en", "web") for i in range(200)], "doc_id long, text string, lang string, source string")
+    rows = [(i, "x" * i, "en", "web") for i in range(200)] + [(None, "no id", None, "web")] * 3 + [(7, "again", "de", None)] * 2
+    docs = numbered(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
     write_shards(docs, shard_documents(docs), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 200 and back.select("shard").distinct().count() == 8
+    key = lambda r: (str(r[0]), r[1], str(r[2]), str(r[3]))
+    assert sorted(map(key, back.select("doc_id", "text", "lang", "source").collect())) == sorted(map(key, rows))
+    assert back.select("shard").distinct().count() == 8
+
+
+def test_hot_cells_are_dealt_in_parts(spark):
+    rows = [(None, "same", "en", "web")] * 500 + [(i, "x" * (i % 9), "en", "web") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sized = document_rows(docs)
+    got = hilbert_shards(sized, {"lang": below(F.col("lang"), [("en", 1)])}, "size", 4, order=("doc_id", "text_crc32"), part_rows=50)
+    check(got.collect(), [(r[0], r[1]) for r in rows], 4)
