@@ -9,9 +9,10 @@ and item, which is then verified word by word around the hit: some stretch of
 `agree` of its words.
 
 The test set is sent to the executors in blocks of about `block_words` words,
-so what is broadcast has a fixed bound whatever the test set's size; each block
-is one pass over the documents. Documents stay where they are: no
-window of a document is ever shuffled.
+one after another: each block is one pass over the documents whose findings
+are stored before the next is sent, so what is broadcast at a time, and what a
+worker holds, has a fixed bound whatever the test set's size. Documents stay
+where they are: no window of a document is ever shuffled.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import WordHashes, small_batches, stored, table
+from strataloom.llm.common import WordHashes, dropped, small_batches, stored, table
 
 #: 1: compared, 0: ignored. Found by enumeration: every 8 to 13 words of which three quarters agree hold a hit.
 MASKS = ("11101", "100111", "1101001")
@@ -82,32 +84,38 @@ class Probe:
             door[(hashes >> np.uint64(44)).astype(np.int64)] = True
             self.tables.append((mask, hashes[order], owner[order], place[order], door))
         #: items of fewer than SHORT words are looked up whole
-        self.short = {w.tobytes(): k for k, w in enumerate(self.words) if 0 < len(w) < SHORT}
+        self.short: dict[bytes, list[int]] = {}
+        for k, w in enumerate(self.words):
+            if 0 < len(w) < SHORT:
+                self.short.setdefault(w.tobytes(), []).append(k)
         self.short_lengths = sorted({len(w) for w in self.words if 0 < len(w) < SHORT})
 
     def find(self, h: np.ndarray) -> dict[int, float]:
         """item id -> best share of agreement, for the items that verify."""
         tried: set[tuple[int, int]] = set()
-        found: dict[int, float] = {}
+        best = np.zeros(len(self.ids))
         for mask, hashes, owner, place, door in self.tables:
             windows = seed_hashes(h, mask)
             at = np.flatnonzero(door[(windows >> np.uint64(44)).astype(np.int64)])
             if not len(at) or not len(hashes):
                 continue
             lo, hi = np.searchsorted(hashes, windows[at], "left"), np.searchsorted(hashes, windows[at], "right")
-            for i in np.flatnonzero(hi > lo):
+            hit = np.flatnonzero(hi > lo)
+            for i in hit:
                 for j in range(lo[i], hi[i]):
-                    key = (int(owner[j]), int(at[i] - place[j]))
+                    k = int(owner[j])
+                    if best[k] == 1.0:  # nothing can be better: a word repeated throughout ends here
+                        continue
+                    key = (k, int(at[i] - place[j]))
                     if key not in tried:
                         tried.add(key)
-                        share = best_overlap(h, self.words[key[0]], key[1], self.span)
-                        if share >= self.agree:
-                            item = self.ids[key[0]]
-                            found[item] = max(found.get(item, 0.0), share)
+                        best[k] = max(best[k], best_overlap(h, self.words[k], key[1], self.span))
+        found: dict[int, float] = {}
+        for k in np.flatnonzero(best >= self.agree):
+            found[self.ids[k]] = max(found.get(self.ids[k], 0.0), float(best[k]))
         for n in self.short_lengths:
             for i in range(len(h) - n + 1):
-                k = self.short.get(h[i : i + n].tobytes())
-                if k is not None:
+                for k in self.short.get(h[i : i + n].tobytes(), ()):
                     found[self.ids[k]] = 1.0
         return found
 
@@ -118,7 +126,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     items: ids of the benchmark items found in the document, ascending; empty
     for none, and for null and blank texts. overlap: the best verified share,
     0.0 for none. Benchmark rows with null ids or without words match nothing;
-    items of fewer than SHORT words must occur whole.
+    items of fewer than SHORT words must occur whole; items of equal texts are
+    all found. Texts are read whole, however long; repeated rows of docs stay.
+    Columns of docs named items or overlap must not be kept. An empty table
+    gives none, an empty benchmark finds nothing.
     """
     small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
@@ -131,12 +142,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     for k in range(blocks):
         mine = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         items = [(r.item_id, words_of(r.text)) for r in mine.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]  # about block_words words
-        out = _scan(out, [(i, [WordHashes()[w] for w in ws]) for i, ws in items if ws], span, agree)
+        hashes = WordHashes()
+        before = out
+        out, sent = _scan(before, [(i, [hashes[w] for w in ws]) for i, ws in items if ws], span, agree)
+        if k + 1 < blocks:
+            out = stored(out, "scanned")
+            sent.unpersist()
+            dropped(before)
     return out.drop("__text")
 
 
-def _scan(rows: DataFrame, items: list, span: int, agree: float) -> DataFrame:
-    """rows (..., __text, items, overlap) with what a block of the benchmark adds to the last two."""
+def _scan(rows: DataFrame, items: list, span: int, agree: float) -> tuple[DataFrame, Broadcast]:
+    """rows (..., __text, items, overlap) with what a block of the benchmark adds to the last two, and the block as sent."""
     sent = rows.sparkSession.sparkContext.broadcast(items)
     n = len(rows.columns) - 3
 
@@ -149,9 +166,10 @@ def _scan(rows: DataFrame, items: list, span: int, agree: float) -> DataFrame:
             best = [max(x, y) for x, y in zip(best, b.column(n + 2).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], pa.array(found, pa.list_(pa.int64())), pa.array(best, pa.float64())], b.schema.names)
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes))
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)), sent
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: see find_overlaps for nulls, empty and long texts, ties, repeated rows and empty tables."""
     got = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").alias("n_items"), F.array_join("items", ",").alias("item_ids"), "overlap")

@@ -3,27 +3,24 @@ from itertools import combinations
 
 import numpy as np
 
-from strataloom.llm.decontam import AGREE, MASKS, SPAN, Probe, find_overlaps, op9_decontamination, words_of
+from strataloom.llm.decontam import AGREE, SPAN, Probe, find_overlaps, op9_decontamination, words_of
 
 from .corpora import empty, odd, odd_rows, prose
 
 
 def brute(doc, items, span=13, agree=0.75):
-    """Items with a stretch that agrees and holds a window equal under some mask."""
+    """Items with a stretch of aligned words that agrees enough; no mask is asked."""
     w, found = words_of(doc), []
     for i, text in items:
         v = words_of(text)
         need, hit = min(span, len(v)), False
         if 0 < len(v) < 8:
             hit = any(w[s : s + len(v)] == v for s in range(len(w) - len(v) + 1))
-        else:
+        elif v:
             for shift in range(-len(v), len(w)):
                 lo, hi = max(0, -shift), min(len(v), len(w) - shift)
                 same = [w[p + shift] == v[p] for p in range(lo, hi)]
-                if hi - lo < need or not v or sum(same) < need * agree:
-                    continue
-                seed = any(all(same[s + k] for k, c in enumerate(m) if c == "1") for m in MASKS for s in range(len(same) - len(m) + 1))
-                if seed and any(sum(same[s : s + need]) >= need * agree for s in range(len(same) - need + 1)):
+                if any(sum(same[s : s + need]) >= need * agree for s in range(len(same) - need + 1)):
                     hit = True
                     break
         if hit:
@@ -71,6 +68,13 @@ def test_whole_table_finds_whole_items(spark, small):
         assert {str(i) for i in items} <= got[d]
 
 
+def test_repeated_words_and_equal_items(spark):
+    item = "same " * 60
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "tiny item"), (4, "tiny item"), (5, "other words " * 30)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "same " * 200_000), (2, "a tiny item here"), (3, "nothing of it")], "doc_id long, text string")
+    assert {r.doc_id: r["items"] for r in find_overlaps(docs, bench).collect()} == {1: [1, 2], 2: [3, 4], 3: []}
+
+
 def test_every_pattern_of_substitutions_is_found():
     for n in range(8, 14):
         item = np.arange(1, n + 1, dtype=np.uint64)
