@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -77,3 +78,50 @@ def test_patterns_discover_unseen_identifiers(spark):
     got = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", listed(F.col("spans")).alias("spans"), F.size("base").alias("n")).collect()}
     assert got[50].n == 0 and got[50].spans == "phone:18:29"
     assert got[51].spans == "" and got[52].spans == ""
+
+
+def found(spark, rows):
+    got = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    return {r.doc_id: r.spans for r in got.select("doc_id", listed(F.col("spans")).alias("spans")).collect()}
+
+
+def test_contexts_hold_whole_words_however_long(spark):
+    long = "call" * 700
+    rows = [(i, f"{long}A {' ' * 400}{long}B +1 415 555 {1000 + i} {long}C") for i in range(6)]
+    rows += [(20 + i, f"{long}X {' ' * 400}{long}B 0171-99887{i} {long}C") for i in range(2)]  # the first word differs beyond any window
+    rows += [(30, f"{long}A {' ' * 400}{long}B 0171-998870 {long}C")]
+    got = found(spark, rows)
+    assert got[20] == got[21] == "" and got[30].startswith("phone:")
+
+
+def test_found_instances_support_further_patterns(spark):
+    rows = [(i, f"please call me at +1 415 555 {1000 + i} today") for i in range(60)]
+    rows += [(100 + i, f"please call me at 0171-99{8700 + i} today") for i in range(12)]
+    rows += [(200 + i, f"our hotline answers 0171-99{8700 + i} always") for i in range(12)]  # no seed here
+    rows += [(300, "our hotline answers 555 010 4477 always"), (301, "our store sells 555 010 4477 always")]
+    got = found(spark, rows)
+    assert all(got[d].startswith("phone:") for d in (100, 111, 200, 211))
+    assert got[300] == "phone:20:32" and got[301] == ""
+
+
+def test_recall_and_precision_of_unseen_identifiers(spark):
+    rng = random.Random(7)
+    frames = [("reach {} at desk", "phone"), ("mail goes to {} since", "email"), ("logged in from {} again", "ip"), ("ticket number {} of", None), ("sold about {} units", None)]
+    known = {"phone": lambda: f"+49 30 {rng.randrange(10**6, 10**7)}", "email": lambda: f"u{rng.randrange(10**6)}@mail{rng.randrange(99)}.example.org", "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4))}
+    unseen = {"phone": lambda: f"030-{rng.randrange(10**6)}", "email": lambda: f"u{rng.randrange(10**6)}@localhost", "ip": lambda: f"fe80::{rng.randrange(16**4):x}:{rng.randrange(10)}"}
+    rows, want = [], {}
+    for d in range(600):
+        frame, kind = rng.choice(frames)
+        new = rng.random() < 0.15
+        v = (unseen if new else known)[kind]() if kind else str(rng.randrange(10**7))
+        lead = " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(rng.randrange(1, 9)))
+        text = f"{lead} {frame.format(v)} {lead}"
+        rows.append((d, text))
+        if new and kind:
+            want[d] = f"{kind}:{text.index(v)}:{text.index(v) + len(v)}"
+        elif not kind:
+            want[d] = ""
+    got = found(spark, rows)
+    planted = [d for d in want if want[d]]
+    assert len(planted) > 30 and sum(got[d] == want[d] for d in planted) >= 0.9 * len(planted)
+    assert sum(got[d] == "" for d in want if not want[d]) >= 0.99 * sum(not v for v in want.values())
