@@ -8,8 +8,14 @@ of any y that is one bit away. So every fingerprint is a guest of all anchors
 within two bits (at most 16 for each half), a host at its home anchor, and
 hosts are compared with guests anchor by anchor. No pair is missed.
 
-Equal fingerprints are merged before anchors are dealt. An anchor with more
-than `dense` hosts is not compared pair by pair: its fingerprints are linked
+Within an anchor the other half tells more: it differs in three bits at most, so
+one of its quarters is equal. Hosts and guests therefore meet by anchor and a
+quarter of the other half, some 2**34 keys, which keeps the comparisons of
+random fingerprints few up to about 10**10 distinct texts (beyond that they
+grow with the square of the number).
+
+Equal fingerprints are merged before anchors are dealt. Keys with more than
+`dense` hosts are not compared pair by pair: their fingerprints are linked
 through the points of the cube around them (see `_dense_links`), which finds
 the same components in rows linear in their number.
 """
@@ -106,31 +112,36 @@ def _dense_links(fps: DataFrame) -> DataFrame:
     return ball(two).join(hubs, "point").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
-def links(fps: DataFrame, threshold: int = 3, dense: int = 50_000) -> DataFrame:
+def links(fps: DataFrame, threshold: int = 3, dense: int = 2_000) -> DataFrame:
     """Links (a, b) between distinct fingerprints whose components are those of all pairs within `threshold` bits (3 at most)."""
     if not 0 <= threshold <= 3:
         raise ValueError("the anchors cover thresholds from 0 to 3")
     rows = _anchors(fps)
-    hosts = rows.where("home").select("anchor", F.col("fp").alias("a"))
-    guests = rows.select("anchor", F.col("fp").alias("b"))
-    crowded = stored(hosts.groupBy("anchor").count().where(F.col("count") > dense).select("anchor"), "crowded")
+    # an anchor holds bits 0 to 30 or 33 to 63 of a fingerprint; the other half's quarters are of eight bits
+    quarter = "CAST((fp >> (8 * q + IF(anchor >> 31 = 0, 32, 0))) & 255 AS LONG)"
+    keyed = rows.select("fp", "home", "anchor", F.explode(F.array(*(F.lit(q) for q in range(4)))).alias("q"))
+    keyed = keyed.select("fp", "home", F.expr(f"(anchor << 10) | (q << 8) | {quarter}").alias("key"))
+    hosts = keyed.where("home").select("key", F.col("fp").alias("a"))
+    guests = keyed.select("key", F.col("fp").alias("b"))
+    crowded = stored(hosts.groupBy("key").count().where(F.col("count") > dense).select("key"), "crowded")
     extra = None
     if not crowded.isEmpty():
-        within = guests.join(crowded, "anchor", "left_semi").select(F.col("b").alias("fp")).distinct()
+        within = guests.join(crowded, "key", "left_semi").select(F.col("b").alias("fp")).distinct()
         if threshold != 3:
             raise ValueError("dense anchors need a threshold of 3")
         extra = _dense_links(stored(within, "dense"))
-        hosts = hosts.join(crowded, "anchor", "left_anti")
-    found = hosts.join(guests, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
+        hosts = hosts.join(crowded, "key", "left_anti")
+    found = hosts.join(guests, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
     found = found.select("a", "b").distinct()
     return found.unionByName(extra) if extra is not None else found
 
 
-def simhash_components(docs: DataFrame, width: int = 3, threshold: int = 3, dense: int = 50_000) -> DataFrame:
+def simhash_components(docs: DataFrame, width: int = 3, threshold: int = 3, dense: int = 2_000) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text, ...).
 
-    Null and blank texts have fingerprint zero and link like others; repeated
-    rows stay; a null doc_id stays but names no component unless it is alone.
+    Null and blank texts have fingerprint zero and link like others; long texts
+    are read whole; repeated rows stay; a null doc_id stays but names no component
+    unless it is alone. Other columns are not read. An empty table gives none.
     """
     fp = stored(fingerprints(docs, width), "fingerprints")
     distinct = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
@@ -279,4 +290,5 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80,
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: see simhash_components for nulls, empty and long texts, ties, repeated rows and empty tables."""
     return simhash_components(table(spark, sf_dir, "documents"))
