@@ -71,8 +71,13 @@ def forget_file(g: CodeGraph, path: str) -> CodeGraph:
     """The graph without what a file declared, by exact path, else by the end of it."""
     exact = g.nodes.where(F.col("file") == path)
     mine = exact if not exact.isEmpty() else g.nodes.where(F.col("file").endswith("/" + path.lstrip("/")))
-    names = mine.select("file").distinct()
-    got = remove_nodes(g, mine.where("type <> 'PACKAGE'").select("id"))
+    return forget_files(g, mine.select("file").distinct())
+
+
+def forget_files(g: CodeGraph, files: DataFrame) -> CodeGraph:
+    """The graph without what the files (file) declared. Packages stay: other files may declare them."""
+    names = files.select("file").distinct()
+    got = remove_nodes(g, g.nodes.where("type <> 'PACKAGE'").join(names, "file", "left_semi").select("id"))
     side = {n: t.join(names, "file", "left_anti") for n, t in g.side.items() if "file" in t.columns}
     return got.with_tables(**side)
 

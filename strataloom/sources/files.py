@@ -42,6 +42,18 @@ def standard_roots(project: str, tests: bool = True) -> list[str]:
     return found or [project]
 
 
+def source_listing(project: str, tests: bool = True) -> tuple[list[str], tuple[str, ...]]:
+    """(folders, parts of paths to leave out) of a project: with tests the standard roots that exist, else the whole tree; without them the main root, else the tree less its test folders."""
+    roots = standard_roots(project, tests)
+    return roots, () if tests or roots != [project] else ("/test/",)
+
+
+def cached_listing(cache: "ListingCache", spark: SparkSession, folder: str, ext: str = ".java", exclude: tuple[str, ...] = ()) -> DataFrame:
+    """listing() of a folder, its rows kept in the cache."""
+    rows = cache.get(f"{folder}/*{ext}", lambda: listing(spark, folder, ext).collect())  # one folder's names
+    return without(spark.createDataFrame(list(rows), "file string, size long, mtime timestamp"), exclude)
+
+
 def count(files: DataFrame) -> int:
     return files.count()
 
