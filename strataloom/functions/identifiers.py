@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# --- fixed values: ids, postings and answers depend on them exactly ---------------------------
 PREFIXES = {"PACKAGE": "pkg", "CLASS": "cls", "INTERFACE": "cls", "METHOD": "mth", "FIELD": "fld", "PARAMETER": "par", "VARIABLE": "var"}
-#: Our own list of words that carry no meaning in a search.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "to", "with")
+#: Words that are never indexed.
+STOP_WORDS = tuple(
+    "a an the and or but in on at to for of with by is are was were be been being have has had do does did will would should could may might "
+    "as if then else when where how which what who whom this that these those i you he she it we they my your his her its our their".split()
+)
 #: Where a token ends: before an upper-case letter after a lower-case one, before the last capital of a run, between digits and letters.
 _BOUNDARY = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|[._-]|\s+"
 SUFFIXES = ("ation", "ion", "ing", "ed", "es", "s")

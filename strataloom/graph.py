@@ -69,10 +69,16 @@ class CodeGraph:
 
     # --- snapshots ----------------------------------------------------------
     def save(self, path: str, fingerprint: str | None = None) -> None:
-        """Parquet tables, nodes and edges partitioned by type, and one row of metadata written last."""
+        """Parquet tables, nodes and edges partitioned by type, and one row of metadata written last.
+
+        Within files nodes are sorted by qualified name and edges by source, so row groups are skipped in lookups.
+        """
         for name in TABLES:
-            w = self.table(name).write.mode("overwrite")
-            (w.partitionBy("type") if name in ("nodes", "edges") else w).parquet(f"{path}/{name}")
+            df = self.table(name)
+            if name in ("nodes", "edges"):
+                df.sortWithinPartitions("type", *(["qualified_name", "id"] if name == "nodes" else ["src", "dst"])).write.mode("overwrite").partitionBy("type").parquet(f"{path}/{name}")
+            else:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
         self.spark.createDataFrame([(SNAPSHOT_VERSION, fingerprint)], "version string, fingerprint string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.identifiers import is_test_class
 from strataloom.graph import CodeGraph
+from strataloom.storage import stored
 
 LINKS = ("call-graph", "call-graph-2hop", "exception-link", "name-convention")
 HELPERS = 50
@@ -20,8 +21,9 @@ def covered(g: CodeGraph, targets: DataFrame | None = None, helpers: int = HELPE
     """(target, test_class, test_method, covers, link): every way in which a test method touches a target class.
 
     targets: (target), qualified names; all classes that are no tests if None.
-    Names link whole classes: test_method is null there. Only the first
-    `helpers` callees of a test method, by id, are followed for the second hop.
+    Names link whole classes: test_method is null there. For the second hop the
+    first `helpers` callees of a test method by id are followed that are not
+    methods of the target itself.
     """
     tests = test_classes(g).select(F.col("qualified_name").alias("owner"), F.col("name").alias("test_name")).distinct()
     prod = g.classes.where(~is_test_class("file", "name")).select(F.col("qualified_name").alias("target"), F.col("name").alias("target_name"))
@@ -29,15 +31,9 @@ def covered(g: CodeGraph, targets: DataFrame | None = None, helpers: int = HELPE
         prod = prod.join(targets.select("target").distinct(), "target", "left_semi")
     tm = g.methods.join(tests, "owner").select(F.col("id").alias("test_id"), F.col("owner").alias("test_class"), F.col("qualified_name").alias("test_method"))
     pm = g.methods.join(prod.select(F.col("target").alias("owner")), "owner").select(F.col("id").alias("prod_id"), F.col("owner").alias("target"), "signature", F.col("qualified_name").alias("prod_method"))
-    calls = g.calls.join(tm, F.col("src") == F.col("test_id"))
-    direct = calls.join(pm, F.col("dst") == F.col("prod_id")).select("target", "test_class", "test_method", F.col("signature").alias("covers"), F.lit(LINKS[0]).alias("link"))
-    helper_calls = calls.join(g.methods.where(F.col("owner").isNotNull()).select(F.col("id").alias("dst"), F.col("owner").alias("helper_class")), "dst")
-    rank = Window.partitionBy("test_id").orderBy("dst")
-    helper_calls = helper_calls.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= helpers)
-    second = g.calls.select(F.col("src").alias("mid"), F.col("dst").alias("prod_id")).join(pm, "prod_id")
-    two = helper_calls.join(second, (F.col("dst") == F.col("mid")) & (F.col("helper_class") != F.col("target"))).select(
-        "target", "test_class", "test_method", F.concat(F.lit("[2hop] "), "signature").alias("covers"), F.lit(LINKS[1]).alias("link")
-    )
+    into = stored(g.calls.join(pm, F.col("dst") == F.col("prod_id")).select("src", "target", "signature").distinct(), "into")
+    direct = into.join(tm, F.col("src") == F.col("test_id")).select("target", "test_class", "test_method", F.col("signature").alias("covers"), F.lit(LINKS[0]).alias("link"))
+    two = _second_hop(g, tm, into, helpers)
     ex = g.table("exceptions")
     thrown = ex.where("not is_assertion").join(pm, F.col("method_qn") == F.col("prod_method")).select("exception_name", "target").distinct()
     asserted = ex.where("is_assertion").select("method_qn", "exception_name").join(tm, F.col("method_qn") == F.col("test_method")).select("exception_name", "test_class", "test_method")
@@ -45,6 +41,26 @@ def covered(g: CodeGraph, targets: DataFrame | None = None, helpers: int = HELPE
     return direct.unionByName(two).unionByName(by_exception).unionByName(_by_name(tests, prod)).distinct()
 
 
+def _second_hop(g: CodeGraph, tm: DataFrame, into: DataFrame, helpers: int) -> DataFrame:
+    """Links of test methods over a helper. into: (src, target, signature), the calls of target methods.
+
+    Starts from the callers of targets, so only test methods that call one of them are looked at.
+    """
+    owners = g.methods.where(F.col("owner").isNotNull()).select(F.col("id").alias("mid"), F.col("owner").alias("helper_class"))
+    helping = into.withColumnRenamed("src", "mid").join(owners, "mid").where(F.col("helper_class") != F.col("target"))
+    cand = g.calls.select(F.col("src").alias("test_id"), F.col("dst").alias("mid")).join(tm, "test_id").join(helping, "mid")
+    cand = stored(cand.select("test_id", "test_class", "test_method", "mid", "target", "signature"), "second-hop")
+    callees = g.calls.select(F.col("src").alias("test_id"), F.col("dst").alias("mid")).join(cand.select("test_id").distinct(), "test_id", "left_semi").join(owners, "mid")
+    ranked = callees.withColumn("rn", F.row_number().over(Window.partitionBy("test_id").orderBy("mid")))
+    ranked = stored(ranked.select("test_id", "mid", "helper_class", "rn"), "callees")
+    # a callee's place among those that aren't the target's: its place less the target's own before it
+    places = cand.select("test_id", "mid", "target").distinct().join(ranked.select("test_id", "mid", "rn"), ["test_id", "mid"])
+    own = ranked.select("test_id", F.col("helper_class").alias("target"), F.col("rn").alias("own_rn"))
+    place = F.max("rn") - F.count(F.when(F.col("own_rn") < F.col("rn"), 1))
+    near = places.join(own, ["test_id", "target"], "left").groupBy("test_id", "mid", "target").agg(place.alias("place")).where(F.col("place") <= helpers)
+    return cand.join(near, ["test_id", "mid", "target"]).select("target", "test_class", "test_method", F.concat(F.lit("[2hop] "), "signature").alias("covers"), F.lit(LINKS[1]).alias("link"))
+
+
 def _by_name(tests: DataFrame, prod: DataFrame) -> DataFrame:
     """Tests whose name contains a target's name: equi-joined on the name's first letters, at each place of the test's name."""
     k = 3

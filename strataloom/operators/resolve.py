@@ -78,21 +78,26 @@ def resolve_calls(sites: DataFrame, methods: DataFrame, classes: DataFrame) -> D
     means the caller's own class. All overloads of the name there are called;
     where there are none, the only method of that name in the graph is.
     """
-    s = sites.where("caller_id is not null and method_name is not null").select("caller_id", "caller_class", "receiver_type", "method_name").distinct()
-    s = stored(s.withColumn("sid", F.monotonically_increasing_id()), "sites")
-    known = classes.select(F.col("qualified_name").alias("cls"), F.col("name").alias("simple")).distinct()
-    dotted = s.where(F.col("receiver_type").contains(".")).select("sid", F.col("receiver_type").alias("cls"))
-    own = s.where("receiver_type is null").select("sid", F.col("caller_class").alias("cls"))
-    loose = s.where("receiver_type is not null").where(~F.col("receiver_type").contains(".")).join(known, F.col("receiver_type") == F.col("simple")).select("sid", "cls", (qualifier("cls") == qualifier("caller_class")).alias("near"))
-    per = loose.groupBy("sid").agg(F.count("*").alias("n"), F.max(F.coalesce("near", F.lit(False))).alias("any"))
-    loose = loose.join(per, "sid").where("n = 1 or not any or near").select("sid", "cls")
-    target = dotted.unionByName(own).unionByName(loose)
-    m = methods.select(F.col("id").alias("dst"), F.col("owner").alias("cls"), F.col("name").alias("method_name"))
-    found = s.select("sid", "caller_id", "method_name").join(target, "sid").join(m, ["cls", "method_name"]).select("sid", F.col("caller_id").alias("src"), "dst")
-    found = stored(found, "calls")
+    callers = stored(sites.where("caller_id is not null and method_name is not null").select("caller_id", "caller_class", "receiver_type", "method_name").distinct(), "sites")
+    known = stored(classes.select(F.col("qualified_name").alias("cls"), F.col("name").alias("simple")).distinct(), "known")
+    m = stored(methods.select(F.col("id").alias("dst"), F.col("owner").alias("cls"), F.col("name").alias("method_name")), "callable")
+    # what is meant depends on these three alone: sites that share them are resolved once
+    same = [F.col(c).eqNullSafe(F.col("k_" + c)) for c in ("caller_class", "receiver_type", "method_name")]
+    s = callers.select("caller_class", "receiver_type", "method_name").distinct().withColumn("sid", F.xxhash64("caller_class", F.coalesce("receiver_type", F.lit("\x00")), "method_name"))
+    s = stored(s, "asked")
+    dotted = s.where(F.col("receiver_type").contains(".")).select("sid", "method_name", F.col("receiver_type").alias("cls"))
+    own = s.where("receiver_type is null").select("sid", "method_name", F.col("caller_class").alias("cls"))
+    exact = dotted.unionByName(own).join(m, ["cls", "method_name"]).select("sid", "dst")
+    # a simple receiver: methods of that name in classes of that name; where one of these classes is in the caller's package, those alone
+    simple = s.where("receiver_type is not null").where(~F.col("receiver_type").contains(".")).select("sid", "receiver_type", "method_name", qualifier("caller_class").alias("package"))
+    local = simple.join(known.select(F.col("simple").alias("receiver_type"), qualifier("cls").alias("package")).distinct(), ["receiver_type", "package"], "left_semi").select("sid", F.lit(True).alias("local"))
+    held = m.join(known, "cls").select(F.col("simple").alias("receiver_type"), "method_name", qualifier("cls").alias("held_in"), "dst")
+    loose = simple.join(held, ["receiver_type", "method_name"]).join(local, "sid", "left").where("local is null or held_in = package").select("sid", "dst")
+    found = stored(exact.unionByName(loose).distinct(), "calls")
     alone = m.groupBy("method_name").agg(F.min("dst").alias("dst"), F.count("*").alias("n")).where("n = 1").select("method_name", "dst")
-    rest = s.join(found.select("sid").distinct(), "sid", "left_anti").join(alone, "method_name").select("sid", F.col("caller_id").alias("src"), "dst")
-    return found.unionByName(rest).select("src", "dst").distinct()
+    rest = s.join(found.select("sid").distinct(), "sid", "left_anti").join(alone, "method_name").select("sid", "dst")
+    asked = stored(found.unionByName(rest).join(s, "sid").select("dst", *(F.col(c).alias("k_" + c) for c in ("caller_class", "receiver_type", "method_name"))), "answers")
+    return callers.join(asked, same[0] & same[1] & same[2]).select(F.col("caller_id").alias("src"), "dst").distinct()
 
 
 def dispatch_calls(g: CodeGraph, limit: int = DISPATCH_LIMIT) -> DataFrame:

@@ -109,7 +109,7 @@ def matched_distribution(log: DataFrame) -> DataFrame:
 
 def unmatched(log: DataFrame) -> DataFrame:
     """Questions nothing matched, in the order of the log."""
-    return log.where("matched is null").orderBy("ts")
+    return log.where("matched is null").orderBy("ts", "project", "question")
 
 
 def mutation_split(events: DataFrame) -> DataFrame:
@@ -188,11 +188,19 @@ def repeated_reads(files: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """The element at position n div 2 of each group's sorted values: never interpolated. Nothing is gathered; rows are ranked."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("__rn", F.row_number().over(w) - 1)
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n"))
-    return ranked.join(n, keys).where(F.col("__rn") == F.floor(F.col("__n") / 2)).select(*keys, F.col(value).alias(name))
+    """The element at position n div 2 of each group's sorted values: never interpolated.
+
+    Nothing is gathered and no task sorts a group: the order is taken over
+    counts of distinct values, with prefix sums in two levels, coarse buckets of
+    the value and values in a bucket.
+    """
+    up = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__k"))
+    c = c.withColumn("__g", F.signum("__v") * F.floor(F.log2(F.abs("__v") + 1) * 64))
+    coarse = c.groupBy(*keys, "__g").agg(F.sum("__k").alias("__b")).withColumn("__base", F.sum("__b").over(up(keys, "__g")) - F.col("__b")).drop("__b")  # a few thousand buckets a group
+    cum = c.join(coarse, [*keys, "__g"]).withColumn("__last", F.col("__base") + F.sum("__k").over(up([*keys, "__g"], "__v")))
+    n = c.groupBy(*keys).agg(F.sum("__k").alias("__n"))
+    return cum.join(n, keys).where(F.col("__last") > F.floor(F.col("__n") / 2)).groupBy(*keys).agg(F.min("__v").alias(name))
 
 
 def usage_series(usage: DataFrame) -> DataFrame:

@@ -7,10 +7,13 @@ conversations are traces.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.graph import CodeGraph
+from strataloom.storage import shared_dir, stored
 
 #: Relations in order: a later one may use those before it.
 RELATIONS: dict[str, str] = {
@@ -105,22 +108,51 @@ def used(sql: str) -> str:
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
-def views(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views of the tables and of the relations derived from them."""
+#: (application, folder) -> what was stored of it, for this process.
+_RELATIONS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_GRAPHS: dict[tuple[str, str], CodeGraph] = {}
+
+
+def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, sf_dir
+
+
+def base_views(spark: SparkSession, sf_dir: str) -> None:
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+
+
+def views(spark: SparkSession, sf_dir: str, fresh: bool = False) -> None:
+    """Temporary views of the tables and of the relations derived from them, which are stored once for each folder; anew if `fresh`."""
+    base_views(spark, sf_dir)
+    held = {} if fresh else _RELATIONS.setdefault(_key(spark, sf_dir), {})
     for n, q in RELATIONS.items():
-        spark.sql(q).createOrReplaceTempView(n)
+        if n not in held:
+            held[n] = stored(spark.sql(q), n)
+        held[n].createOrReplaceTempView(n)
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    views(spark, sf_dir)
+    if name in RELATIONS:
+        views(spark, sf_dir)
+    else:
+        base_views(spark, sf_dir)
     return spark.table(name)
 
 
 def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """The derived graph in the engine's own tables."""
+    """The derived graph, built and saved once for each folder; queries read the snapshot, whose tables are partitioned by type and sorted by what is looked up."""
     views(spark, sf_dir)
+    key = _key(spark, sf_dir)
+    if key not in _GRAPHS:
+        path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+        build(spark).save(path)
+        _GRAPHS[key] = CodeGraph.load(spark, path)
+    return _GRAPHS[key]
+
+
+def build(spark: SparkSession) -> CodeGraph:
+    """The graph of the current views in the engine's own tables."""
     null = lambda t: F.lit(None).cast(t)
     wide = {
         "start": "struct<line:int,column:int>", "end": "struct<line:int,column:int>", "superclass": "string", "interfaces": "array<string>", "is_interface": "boolean", "is_enum": "boolean",

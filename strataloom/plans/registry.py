@@ -17,7 +17,8 @@ from strataloom.operators import text as X
 from strataloom.operators import trace as E
 from strataloom.functions.identifiers import is_test_class, segments, stem
 from strataloom.graph import CodeGraph
-from strataloom.plans.derived import graph, relation, used, views
+from strataloom.operators.build import build_summary
+from strataloom.plans.derived import base_views, build, graph, relation, used, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,6 +116,13 @@ on_graph("search_method_fallback", "SELECT 'method' AS kind, key AS qualified_na
 on_graph("nodes_where", "SELECT id, (SELECT count(*) FROM d_nodes WHERE type = 'INTERFACE') AS total FROM d_nodes WHERE type = 'INTERFACE' ORDER BY id LIMIT 100")(lambda g: L.nodes_where(g, kind="INTERFACE", limit=100).select("id", "total"))
 on_graph("relative_paths", "SELECT id, substr(file, 4) AS rel FROM d_class")(lambda g: g.classes.select("id", L.relative("file", "/w").alias("rel")))
 
+# --- building -------------------------------------------------------------------------------
+@query("graph_build", "SELECT 0 AS files, (SELECT count(*) FROM d_nodes) AS nodes, (SELECT count(*) FROM d_edges) AS edges, 0 AS dangling")
+def _graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views(spark, sf_dir, fresh=True)
+    return build_summary(build(spark))
+
+
 # --- counts ---------------------------------------------------------------------------------
 on_graph("totals", "SELECT (SELECT count(*) FROM d_nodes) AS total_nodes, (SELECT count(*) FROM d_edges) AS total_edges")(L.totals)
 on_graph("node_counts_by_type", "SELECT type, count(*) AS n FROM d_nodes GROUP BY type")(lambda g: L.counts_by_type(g.nodes))
@@ -151,7 +159,10 @@ def _paths(g: CodeGraph) -> DataFrame:
     return got.select(F.concat(F.lit("|"), F.array_join("path", "|"), F.lit("|")).alias("path"), "hops")
 
 
-on_graph("call_path_labels")(lambda g: C.labelled_paths(C.call_paths(g.calls, g.spark.sql(_ENDS), 5), g.methods))
+_LABELS = _PATHS.replace("SELECT path, hops FROM walk WHERE node = (SELECT b FROM ends)", "") + """, few AS (SELECT path, hops, row_number() OVER (ORDER BY hops, replace(substr(path, 2, length(path) - 2), '|', ' > ')) AS rn FROM walk WHERE node = (SELECT b FROM ends)),
+    step AS (SELECT rn, hops, unnest(string_split(substr(path, 2, length(path) - 2), '|')) AS id, generate_subscripts(string_split(substr(path, 2, length(path) - 2), '|'), 1) AS pos FROM few WHERE rn <= 10)
+    SELECT string_agg(coalesce(m.key, s.id), ' -> ' ORDER BY s.pos) AS label, max(s.hops) AS hops FROM step s LEFT JOIN d_meth m ON m.id = s.id GROUP BY s.rn"""
+on_graph("call_path_labels", _LABELS)(lambda g: C.labelled_paths(C.call_paths(g.calls, g.spark.sql(_ENDS), 5), g.methods))
 _ABOVE = "WITH up(lo, hi) AS ({up}), walk(lo, hi, depth) AS (SELECT lo, hi, 1 FROM up UNION SELECT w.lo, u.hi, w.depth + 1 FROM walk w JOIN up u ON u.lo = w.hi WHERE w.depth < 40)"
 on_graph("ancestors_of_all", _ABOVE.format(up=_BOTH) + " SELECT lo AS start, hi AS node, min(depth) AS depth FROM walk GROUP BY lo, hi")(lambda g: C.ancestors_of_all(g.classes))
 on_graph("override_edges", _ABOVE.format(up=_BOTH) + " SELECT DISTINCT a.id AS src, b.id AS dst, 'OVERRIDES' AS type FROM (SELECT DISTINCT lo, hi FROM walk) w JOIN d_meth a ON a.owner = w.lo AND NOT a.is_ctor JOIN d_meth b ON b.owner = w.hi AND b.signature = a.signature AND NOT b.is_ctor")(B.override_edges)
@@ -224,7 +235,19 @@ query("text_tokens_of_node", f"WITH {_POST} SELECT token FROM post WHERE node_id
 query("text_index_stats", f"WITH {_POST} SELECT count(DISTINCT node_id) AS nodes, count(DISTINCT token) AS tokens, count(*) AS postings FROM post")(lambda s, d: X.index_stats(_postings(s, d)))
 query("text_nodes_per_token", f"WITH {_POST} SELECT token, count(DISTINCT node_id) AS n FROM post GROUP BY token")(lambda s, d: X.nodes_per_token(_postings(s, d)))
 query("text_unindex", f"WITH {_POST} SELECT token, node_id FROM post WHERE node_id NOT IN (SELECT page_id FROM pages WHERE url LIKE '%.org%')")(lambda s, d: X.unindex(_postings(s, d), s.table("pages").where("url like '%.org%'").select(F.col("page_id").alias("id"))))
-on_graph("node_postings")(lambda g: X.index_nodes(g.nodes))
+_NODE_TXT = " UNION ALL ".join(f"SELECT id AS node_id, {x} AS t FROM d_nodes WHERE {x} IS NOT NULL" for x in ("type", "file", "name", "qualified_name", "CASE WHEN position('.' IN qualified_name) > 0 THEN regexp_extract(qualified_name, '^(.*)\\.', 1) END"))
+_NODE_POST = _POST.replace("SELECT page_id AS node_id, url AS t FROM pages WHERE url IS NOT NULL", _NODE_TXT)
+on_graph("node_postings", f"WITH {_NODE_POST} SELECT token, node_id FROM post")(lambda g: X.index_nodes(g.nodes))
+on_graph("node_search_all", f"WITH {_NODE_POST} SELECT node_id FROM post WHERE token IN ('red', 'widget') GROUP BY node_id HAVING count(DISTINCT token) = 2")(lambda g: X.search_all(X.index_nodes(g.nodes), ["red", "widget"]))
+_DOC_POST = _POST.replace("SELECT page_id AS node_id, url AS t FROM pages WHERE url IS NOT NULL", "SELECT doc_id AS node_id, text AS t FROM documents WHERE text IS NOT NULL")
+query("document_index_stats", f"WITH {_DOC_POST} SELECT count(DISTINCT node_id) AS nodes, count(DISTINCT token) AS tokens, count(*) AS postings FROM post")(
+    lambda s, d: X.index_stats(X.postings_of(relation(s, d, "documents").select(F.col("doc_id").alias("node_id"), "text")))
+)
+query("document_literal_search", "SELECT CAST(doc_id AS STRING) AS class_fqn, source AS file, CAST(length(value) AS BIGINT) AS n FROM (SELECT doc_id, source, text AS value FROM documents) d WHERE value LIKE '%license%' ORDER BY file, class_fqn, value LIMIT 20")(
+    lambda s, d: X.literals_containing(
+        relation(s, d, "documents").select(F.col("text").alias("value"), F.col("doc_id").cast("string").alias("class_fqn"), F.lit("text").alias("field_name"), F.col("source").alias("file"), F.lit(0).alias("line")), "license"
+    ).select("class_fqn", "file", F.length("value").cast("long").alias("n"))
+)
 on_graph("names_containing", "SELECT id, type FROM d_nodes WHERE type IN ('CLASS', 'METHOD') AND lower(name) LIKE '%widget%'")(lambda g: X.names_containing(g.nodes, "Widget").select("id", "type"))
 on_graph("literal_search", "SELECT value, class_fqn, field_name, file, line FROM d_value WHERE value LIKE '%PROMO%' ORDER BY file, line, class_fqn, field_name, value LIMIT 20")(lambda g: X.literals_containing(g.table("values"), "PROMO"))
 
@@ -233,7 +256,7 @@ _ISTEST = "CASE WHEN file LIKE '%/src/main/%' OR file LIKE 'src/main/%' THEN fal
 _COVER = f"""cl AS (SELECT qn, name, {_ISTEST} AS t FROM d_class), tm AS (SELECT m.id, m.owner, m.key FROM d_meth m JOIN cl ON cl.qn = m.owner AND cl.t), pm AS (SELECT m.id, m.owner, m.signature, m.key FROM d_meth m JOIN cl ON cl.qn = m.owner AND NOT cl.t),
     c1 AS (SELECT pm.owner AS target, tm.owner AS test_class, tm.key AS test_method, pm.signature AS covers, 'call-graph' AS link FROM d_calls k JOIN tm ON tm.id = k.src JOIN pm ON pm.id = k.dst),
     hp AS (SELECT tm.id, tm.owner AS test_class, tm.key AS test_method, k.dst, h.owner AS hc, row_number() OVER (PARTITION BY tm.id ORDER BY k.dst) AS rn FROM d_calls k JOIN tm ON tm.id = k.src JOIN d_meth h ON h.id = k.dst),
-    c2 AS (SELECT pm.owner AS target, hp.test_class, hp.test_method, '[2hop] ' || pm.signature AS covers, 'call-graph-2hop' AS link FROM hp JOIN d_calls k ON k.src = hp.dst JOIN pm ON pm.id = k.dst WHERE hp.rn <= 50 AND hp.hc <> pm.owner),
+    c2 AS (SELECT pm.owner AS target, hp.test_class, hp.test_method, '[2hop] ' || pm.signature AS covers, 'call-graph-2hop' AS link FROM hp JOIN d_calls k ON k.src = hp.dst JOIN pm ON pm.id = k.dst WHERE hp.hc <> pm.owner AND hp.rn - (SELECT count(*) FROM hp o WHERE o.id = hp.id AND o.hc = pm.owner AND o.rn < hp.rn) <= 50),
     c3 AS (SELECT DISTINCT pm.owner AS target, tm.owner AS test_class, tm.key AS test_method, '[throws ' || a.exception_name || ']' AS covers, 'exception-link' AS link FROM d_exception a JOIN tm ON tm.key = a.method_qn AND a.is_assertion
       JOIN d_exception b ON b.exception_name = a.exception_name AND NOT b.is_assertion JOIN pm ON pm.key = b.method_qn),
     c4 AS (SELECT p.qn AS target, q.qn AS test_class, CAST(NULL AS STRING) AS test_method, CAST(NULL AS STRING) AS covers, 'name-convention' AS link FROM cl p JOIN cl q ON NOT p.t AND q.t AND position(lower(p.name) IN lower(q.name)) > 0),
@@ -323,13 +346,13 @@ _NEW = "SELECT CAST(o_orderkey AS STRING) AS file, CASE WHEN o_orderpriority LIK
 
 @query("snapshot_diff", f"WITH b AS ({_OLD}), a AS ({_NEW}) SELECT coalesce(a.file, b.file) AS file, CASE WHEN b.file IS NULL THEN 'new' WHEN a.file IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM a FULL OUTER JOIN b ON a.file = b.file WHERE a.file IS NULL OR b.file IS NULL OR a.mtime <> b.mtime")
 def _snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir)
+    base_views(spark, sf_dir)
     return M.snapshot_diff(spark.sql(_OLD), spark.sql(_NEW))
 
 
 @query("needs_parsing", f"WITH b AS ({_OLD}), a AS ({_NEW}) SELECT a.file FROM a LEFT JOIN b ON a.file = b.file WHERE b.file IS NULL OR a.mtime > b.mtime")
 def _needs_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir)
+    base_views(spark, sf_dir)
     return M.needs_parsing(spark.sql(_OLD), spark.sql(_NEW)).select("file")
 
 
