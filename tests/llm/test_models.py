@@ -4,11 +4,12 @@ import math
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from strataloom.llm.plm import CLASSES, Net, contexts, op7_pseudo_likelihood, pseudo_likelihood
+from strataloom.llm.plm import CLASSES, UNSEEN, Net, contexts, op7_pseudo_likelihood, pseudo_likelihood, to_classes, vocabulary, words_of
 from strataloom.llm.quality import NAMES, fit_pairs, fit_quality, op1_quality, score_quality
 from strataloom.llm.toxicity import fit_toxicity, ftrl, op8_toxicity, score_toxicity
 
@@ -138,8 +139,50 @@ def test_gradient_by_differences():
     assert abs((loss(up) - loss(down)) / (2 * eps) - g @ direction) < 0.05 * np.linalg.norm(g)
 
 
-def test_pseudo_likelihood_ranks_prose_above_shuffles(spark, small):
+def test_pseudo_likelihood_of_the_whole_table(spark, small):
     rows = op7_pseudo_likelihood(spark, small).collect()
     assert len(rows) == spark.read.parquet(f"{small}/documents.parquet").count()
-    assert all(r.log_likelihood <= 0 and (r.mean_log_prob is None) == (r.n_tokens == 0) for r in rows)
-    assert np.mean([r.mean_log_prob for r in rows if r.n_tokens]) > -math.log(CLASSES)
+    assert all(r.log_likelihood <= 1e-9 and (r.mean_log_prob is None) == (r.n_tokens == 0) for r in rows)
+
+
+def test_prose_scores_above_its_shuffles(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rng, both = random.Random(1), []
+    for r in docs.where("doc_id % 10 = 3").collect():
+        w = (r.text or "").split()
+        if len(w) >= 50:
+            both += [(2 * r.doc_id, " ".join(w)), (2 * r.doc_id + 1, " ".join(rng.sample(w, len(w))))]
+    got = {r.doc_id: r.log_likelihood for r in pseudo_likelihood(docs, spark.createDataFrame(both, "doc_id long, text string")).collect()}
+    assert np.mean([got[d] > got[d + 1] for d in got if d % 2 == 0]) >= 0.9
+
+
+def test_held_out_perplexity_is_below_a_unigram_models(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    learnt, kept = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
+    counts = Counter(w for r in learnt.collect() for w in words_of(r.text))
+    total = sum(counts.values())
+    unigram = sum(math.log(counts.get(w, UNSEEN) / total) for r in kept.collect() for w in words_of(r.text))
+    got = pseudo_likelihood(learnt, kept).agg({"log_likelihood": "sum", "n_tokens": "sum"}).first()
+    assert got["sum(log_likelihood)"] > unigram + 0.1 * got["sum(n_tokens)"]
+
+
+def test_scores_do_not_depend_on_partitions(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    one, two = ({r.doc_id: r.log_likelihood for r in pseudo_likelihood(docs.repartition(k)).collect()} for k in (2, 7))
+    assert set(one) == set(two) and all(abs(one[d] - two[d]) <= 1e-6 * max(1, abs(one[d])) for d in one)
+
+
+def test_shares_of_words_make_a_distribution(spark):
+    texts = [(i, " ".join(f"w{j % (i + 2)}" for j in range(40))) for i in range(30)] + [(99, "w0 w1 rare word w2")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for known in (10, 3):  # with words whose counts are joined, and without
+        words = vocabulary(docs, known)
+        counts = {r.k: r.n for r in words.counts.collect()}
+        every = sorted({w for _, t in texts for w in t.split()})
+        assert sum(counts.values()) == words.tokens == sum(len(t.split()) for _, t in texts)
+        ones = to_classes(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string"), words).collect()
+        share = {}
+        for r in ones:
+            c = int(np.frombuffer(r.ids, "<u2")[0])
+            share[c] = share.get(c, 0) + math.exp(r.share + sum(math.log(counts[k]) for k in r.rare))
+        assert all(abs(v - 1) < 1e-9 for v in share.values())
