@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from strataloom.functions.identifiers import SUFFIXES, is_test_class, segments
 from strataloom.graph import CodeGraph
 
+#: Words of a question that name nothing.
 QUESTION_WORDS = frozenset(
-    "a an and any are as at be by call called calls class classes can does do field fields find for from get has have how i implement implements in is it list me method methods "
-    "of on or show subclass subclasses test tests that the this to use used uses value what when where which who with".split()
+    "who what where which when how why the a an of in on at to for with by is are was were do does did can could call calls caller callers calling called class classes "
+    "method methods field fields implement implements implementation implementations subclass subclasses superclass extends override overrides overridden interface interfaces "
+    "test tests testing testsuite find list all show get give me tell live lives defined define declared declare located locate location file files this that these those it its and or "
+    "any many much please code codebase project java graph server question about used uses usages usage references referenced reference members member variables variable static public "
+    "private protected signature signatures type types".split()
 )
 
 

@@ -86,4 +86,4 @@ def render(df: DataFrame, most: int = 50) -> str:
     """At most `most` rows as lines; the number of others is said."""
     rows = df.limit(most + 1).collect()
     shown = [" | ".join("" if v is None else str(v) for v in r) for r in rows[:most]]
-    return "\n".join(shown + (["..."] if len(rows) > most else [])) or "no results"
+    return "\n".join(shown + ([f"... and {df.count() - most} more"] if len(rows) > most else [])) or "no results"

@@ -60,14 +60,21 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def write_report(report: dict[str, DataFrame], path: str, most: int = 1000) -> str:
-    """Small aggregates, at most `most` rows of each, as one JSON file; the Markdown form is returned."""
-    data = {k: [r.asDict(True) for r in df.limit(most).collect()] for k, df in report.items()}
+    """Small aggregates as one JSON file; the Markdown form is returned. Of a table of more than `most` rows the first are written, and both forms say how many there are."""
+    data, totals = {}, {}
+    for k, df in report.items():
+        rows = [r.asDict(True) for r in df.limit(most + 1).collect()]
+        totals[k] = df.count() if len(rows) > most else len(rows)
+        data[k] = rows[:most]
+    cut = {k: n for k, n in totals.items() if n > most}
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(data, f, default=str, indent=1)
+        json.dump(data | ({"rows_in_all": cut} if cut else {}), f, default=str, indent=1)
     parts = []
     for name, rows in data.items():
         parts.append(f"## {name}\n")
         if rows:
             heads = list(rows[0])
             parts += ["| " + " | ".join(heads) + " |", "|" + "---|" * len(heads), *("| " + " | ".join(str(r[h]) for h in heads) + " |" for r in rows), ""]
+        if name in cut:
+            parts.append(f"{len(rows)} of {cut[name]} rows\n")
     return "\n".join(parts)
