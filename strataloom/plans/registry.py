@@ -18,7 +18,9 @@ from strataloom.operators import trace as E
 from strataloom.functions.identifiers import is_test_class, segments, stem
 from strataloom.graph import CodeGraph
 from strataloom.operators.build import build_summary
-from strataloom.plans.derived import base_views, build, graph, relation, used, views
+from strataloom.plans import batch
+from strataloom.plans.derived import base_views, graph, relation, used
+from strataloom.plans.router import Router
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,10 +119,7 @@ on_graph("nodes_where", "SELECT id, (SELECT count(*) FROM d_nodes WHERE type = '
 on_graph("relative_paths", "SELECT id, substr(file, 4) AS rel FROM d_class")(lambda g: g.classes.select("id", L.relative("file", "/w").alias("rel")))
 
 # --- building -------------------------------------------------------------------------------
-@query("graph_build", "SELECT 0 AS files, (SELECT count(*) FROM d_nodes) AS nodes, (SELECT count(*) FROM d_edges) AS edges, 0 AS dangling")
-def _graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, fresh=True)
-    return build_summary(build(spark))
+on_graph("graph_build", "SELECT 0 AS files, (SELECT count(*) FROM d_nodes) AS nodes, (SELECT count(*) FROM d_edges) AS edges, 0 AS dangling")(build_summary)  # the first query of a folder stores its graph
 
 
 # --- counts ---------------------------------------------------------------------------------
@@ -295,6 +294,39 @@ query("word_stems", "SELECT DISTINCT event_type AS w, CASE WHEN event_type LIKE
     lambda s, d: relation(s, d, "events").select(F.col("event_type").alias("w"), stem("event_type").alias("stem")).distinct()
 )
 
+# --- questions --------------------------------------------------------------------------------------
+_METHOD_NAME = "SELECT min(name) FROM d_meth"
+
+
+@on_graph("ask_answers", f"""WITH {_COVER}, up(src, dst) AS ({_SUPER}), allup(src, dst) AS ({_BOTH}),
+    sub(node) AS (SELECT src FROM up WHERE dst = ({KID}) UNION SELECT u.src FROM sub w JOIN up u ON u.dst = w.node), impl(node) AS (SELECT src FROM allup WHERE dst = ({IFACE}) UNION SELECT u.src FROM impl w JOIN allup u ON u.dst = w.node)
+    SELECT 'implementations' AS asked, 'implementations' AS matched, (SELECT count(DISTINCT node) FROM impl WHERE node <> ({IFACE})) AS n
+    UNION ALL SELECT 'subclasses', 'subclasses', (SELECT count(DISTINCT node) FROM sub WHERE node <> ({KID}))
+    UNION ALL SELECT 'callers', 'callers', (SELECT count(*) FROM d_calls k JOIN d_meth m ON m.id = k.dst WHERE m.name = ({_METHOD_NAME}))
+    UNION ALL SELECT 'field usage', 'field-usage', (SELECT count(*) FROM d_usage u JOIN d_field f ON f.qn = u.field_qn WHERE f.name = 'maxRetryCount1')
+    UNION ALL SELECT 'tests', 'tests', (SELECT count(DISTINCT test_class) FROM cov WHERE target = ({_TARGET}))
+    UNION ALL SELECT 'values', 'values', (SELECT count(*) FROM (SELECT DISTINCT * FROM (SELECT value, class_fqn, field_name, file, line FROM d_value WHERE value LIKE '%PROMO%' ORDER BY file, line, class_fqn, field_name, value LIMIT 20) v) w)
+    UNION ALL SELECT 'methods', 'methods', (SELECT count(*) FROM d_meth WHERE owner = ({ROOT}))
+    UNION ALL SELECT 'fields', 'fields', (SELECT count(*) FROM d_field WHERE owner = ({ROOT}))
+    UNION ALL SELECT 'location', 'location', 1 UNION ALL SELECT 'class', 'class-detail', 1 UNION ALL SELECT 'nothing', NULL, 0""")
+def _ask_answers(g: CodeGraph) -> DataFrame:
+    """(asked, matched, n): which operator answers a question of each kind and how many rows it has."""
+    root = value(g, ROOT)
+    asked = {
+        "implementations": f"what implements {value(g, IFACE)}", "subclasses": f"which classes extends {value(g, KID)}", "callers": f"who calls {value(g, _METHOD_NAME)}", "field usage": "who uses maxRetryCount1",
+        "tests": f"which tests verify {value(g, _TARGET)}", "values": 'where is "PROMO" defined', "methods": f"list methods of {root}", "fields": f"fields of {root}", "location": f"where is {root}", "class": root, "nothing": "zzz qqq",
+    }
+    got = {kind: Router(g).ask(q) for kind, q in asked.items()}
+    return g.spark.createDataFrame([(kind, a.matched, a.count) for kind, a in got.items()], "asked string, matched string, n long")
+
+
+on_graph("phrase_methods", f"SELECT id, qualified_name, (SELECT count(*) FROM d_meth WHERE owner = ({ROOT})) AS total FROM d_nodes WHERE type = 'METHOD' AND owner = ({ROOT}) ORDER BY id LIMIT 100")(
+    lambda g: batch.run(g, f"methods in {value(g, ROOT)}").select("id", "qualified_name", "total")
+)
+on_graph("phrase_callers", f"WITH c AS (SELECT DISTINCT k.src AS id FROM d_calls k JOIN d_meth m ON m.id = k.dst WHERE m.name = ({_METHOD_NAME})) SELECT id, (SELECT count(*) FROM c) AS total FROM c ORDER BY id LIMIT 100")(
+    lambda g: batch.run(g, f"getCallers(methodName={value(g, _METHOD_NAME)})").select("id", "total")
+)
+
 # --- traces --------------------------------------------------------------------------------------------
 on_relation("ask_report", "d_ask", "SELECT count(*) AS total, count(matched) AS answered, round(count(matched) * 1.0 / count(*), 4) AS hit_rate FROM d_ask")(E.ask_report)
 on_relation("ask_projects", "d_ask", "SELECT project, count(*) AS n FROM d_ask GROUP BY project")(E.ask_projects)

@@ -20,10 +20,10 @@ def ask_log(spark: SparkSession, paths) -> DataFrame:
 
 
 def chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON arrays, of a repeated id the first by file and content; rows without an id all stay."""
+    """Rows of JSON arrays, of a repeated id the first by content; rows without an id all stay."""
     got = spark.read.schema(schema).json(path, multiLine=True)
     whole = F.struct(*got.columns)
-    first = got.where("id is not null").groupBy("id").agg(F.min_by(whole, F.struct(F.input_file_name(), F.to_json(whole))).alias("r")).select("r.*")
+    first = got.where("id is not null").groupBy("id").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
     return first.unionByName(got.where("id is null"))
 
 

@@ -139,3 +139,19 @@ def test_streams(spark, tmp_path):
     seen = []
     apply_changes(log_stream(spark, str(edits), "path string, ts long, kind string"), lambda df, n: seen.extend((r.path, r.kind) for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == [("x", "deleted"), ("y", "new")]
+
+
+def test_second_hop_counts_only_helpers_of_other_classes(spark):
+    from strataloom.operators.coverage import covered
+    from strataloom.schema import EDGES, NODES
+
+    cls = lambda q, f: {"id": f"cls:{q}", "type": "CLASS", "name": q, "qualified_name": q, "file": f}
+    mth = lambda i, owner: {"id": i, "type": "METHOD", "name": i, "qualified_name": i, "owner": owner, "signature": i}
+    nodes = [cls("P", "/src/main/P.java"), cls("H", "/src/main/H.java"), cls("T", "/src/test/T.java"), mth("t", "T")]
+    nodes += [mth(f"p{i:02}", "P") for i in range(60)] + [mth(f"h{i:02}", "H") for i in range(60)]
+    edges = [("t", f"p{i:02}", "CALLS", None) for i in range(60)] + [("t", f"h{i:02}", "CALLS", None) for i in range(60)] + [(f"h{i:02}", f"p{i:02}", "CALLS", None) for i in range(60)]
+    for order in (edges, [(s.replace("h", "z"), d.replace("h", "z"), t, p) for s, d, t, p in edges]):  # helpers before and after the target's own methods
+        named = [{**n, "id": n["id"].replace("h", "z")} if n["type"] == "METHOD" else n for n in nodes] if order is not edges else nodes
+        g = CodeGraph(spark.createDataFrame(named, NODES), spark.createDataFrame(order, EDGES))
+        got = covered(g, spark.createDataFrame([("P",)], "target string")).groupBy("link").count().collect()
+        assert {r.link: r["count"] for r in got} == {"call-graph": 60, "call-graph-2hop": 50}
