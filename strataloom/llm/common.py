@@ -56,13 +56,18 @@ class WordHashes(Memo):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Links whose aggregates stay below the size that adaptive execution broadcasts.
+MANY = 500_000
+
+
 def connected(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Components of undirected links (a, b), a != b: rows (node, root), root the least node.
 
     Alternates large-star and small-star until the links stand still, however
     many rounds that takes. Each node's neighbours are only aggregated (min),
-    never gathered; what they are joined with is stored first, so adaptive
-    execution knows its size and may split the partition of a hub. Each round's
+    never gathered; what they are joined with is stored first where there are more
+    than MANY links, so adaptive execution may split the partition of a hub; of
+    fewer links the aggregate is small enough for it to be broadcast. Each round's
     tables are deleted once the next is written. No links give no rows.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
@@ -72,10 +77,11 @@ def connected(edges: DataFrame, name: str = "cc") -> DataFrame:
 
     seen = mark(edges)
     while seen[0]:
+        kept = stored if seen[0] > MANY else lambda df, _: df
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
-        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        low = kept(large.groupBy("a").agg(F.min("b").alias("m")), name)
         pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = stored(large.join(low, "a").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct(), name)
         now = mark(small)
