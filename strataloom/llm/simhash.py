@@ -156,6 +156,7 @@ def simhash_components(docs: DataFrame, width: int = 3, threshold: int = 3, dens
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 BANDS, ROWS = 16, 5
+PARITIES = 16
 _MULTIPLIERS = np.random.default_rng(20250).integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -184,8 +185,14 @@ def anchor_keys(h: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(r.tobytes(), seed=b) - (1 << 63) for b, r in enumerate(rows)]
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """PARITIES words: whether an even or odd number of the distinct shingles h falls to each bit. Two sets differ in as many shingles as bits at least."""
+    odd = np.bincount((h >> np.uint64(23) & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _rare(sets: DataFrame) -> DataFrame:
-    """(key, node, root) of sets(node, root, shingles): the shingles of each set, rarest first, up to one more than a fifth.
+    """(key, node, root, n, at) of sets(node, root, shingles): the shingles of each set, rarest first, up to one more than a fifth; `at` counts the rarer ones before.
 
     Two sets with a Jaccard similarity of 0.8 share four fifths of either; so
     of either, the first of the shared shingles in any common order is among
@@ -195,49 +202,71 @@ def _rare(sets: DataFrame) -> DataFrame:
     often = each.groupBy("key").agg(F.count("*").alias("often"))
     order = F.sort_array(F.collect_list(F.struct("often", "key")))
     first = each.join(often, "key").groupBy("node", "root", "n").agg(order.alias("s"))
-    first = first.select("node", "root", F.explode(F.slice("s", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int"))).alias("x"))
-    return first.where("x.often > 1").select("x.key", "node", "root")
+    first = first.select("node", "root", "n", F.posexplode(F.slice("s", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int"))).alias("at", "x"))
+    return first.where("x.often > 1").select("x.key", "node", "root", "n", "at")
+
+
+def _rare_pairs(rare: DataFrame, alike) -> DataFrame:
+    """Pairs (a, b) across roots that may have a Jaccard similarity of 0.8, met at a shingle of rare(key, node, root, n, at, ...) and `alike` in their other columns.
+
+    What two sets share lies behind the first shared shingle in both. So at
+    positions i and j of sets of n and m, 0.8 needs 9 (n - i) >= 4 (n + m) and
+    9 (m - j) >= 4 (n + m): together 9 (i + j) <= n + m. One of the two has the
+    shingle in its first ninth, and only those are hosts. Texts that share a
+    passage of their larger part and no more meet there, but are no candidates.
+    """
+    side = lambda df, k: df.select("key", *(F.col(c).alias(k + c if c != "node" else k) for c in df.columns if c != "key"))
+    home = lambda k: 9 * F.col(k + "at") <= F.col(k + "n")
+    hosts, guests = side(rare.where("9 * at <= n"), "a"), side(rare, "b")
+    enough = 9 * F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) >= 4 * (F.col("an") + F.col("bn"))
+    once = (F.col("a") < F.col("b")) | ((F.col("a") != F.col("b")) & ~home("b"))
+    met = hosts.join(guests, "key").where(enough & once & (F.col("aroot") != F.col("broot")) & alike)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80, key: str | None = None, small: int = 64) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80, key: str | None = None, small: int = 0) -> DataFrame:
     """(row_id, doc_id, group_id): near-duplicate classes at a similarity (Jaccard) of word shingles of 0.8 or more.
 
-    Links are decided by the shingle sets themselves. 256-bit SimHashes only
-    spare comparisons: at a similarity of 0.8 they differ in 39 bits on average
-    (48 in the shortest texts, spread 6), so few pairs of that similarity
-    differ in more than `most_bits`. Three bits of 64 would find only
-    copies of 0.98 and more, and a covering code that guarantees 46 bits of 256
-    has no selectivity, so the anchors here are points that similar sets of
-    shingles meet at: each text is dealt to BANDS of them, each the minima of
-    the set under ROWS orders. Two texts of similarity s share one with
-    probability 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8, whatever the number
-    of texts.
+    Links are decided by the shingle sets themselves; SimHashes and anchors
+    propose them. The 64-bit fingerprints of op6 go through its anchor-point
+    covering, which misses no two at most three bits apart. Alone that would find
+    only copies of similarity 0.98 and more, and a covering code that guarantees
+    the 46 bits of 256 that 0.8 asks for has no selectivity. So texts also meet
+    at points that similar sets of shingles share: each is dealt to BANDS of
+    them, each the minima of the set under ROWS orders. Two texts of similarity s
+    share one with probability 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8,
+    whatever the number of texts. 256-bit SimHashes only spare comparisons: at a
+    similarity of 0.8 they differ in 39 bits on average (48 in the shortest
+    texts, spread 6), so few pairs of that similarity differ in more than
+    `most_bits`. Parities of the shingle sets rule out pairs without loss: sets
+    of n and m shingles and 0.8 differ in (n + m) / 9 of them at most.
 
     At each anchor all members are first compared with two of them, another two
     at each anchor. That joins most of a large group in comparisons linear in
     its rows, but members of unlike texts (a shared passage can hold all minima)
-    may resemble each other and neither of the two. So at each anchor whose
-    members are not all joined yet, all pairs across components follow: at
-    anchors of up to `small` members directly, and for members of larger ones
-    wherever the rarest fifth of their shingles meets, which no pair of
-    similarity 0.8 escapes (see `_rare`). Every pair of similarity 0.8 or more that
-    meets ends in one group.
+    may resemble each other and neither of the two. So for the members of anchors
+    that are not all joined yet, all pairs across components follow that the
+    rarest fifth of their shingles proposes, which no pair of similarity 0.8
+    escapes (see `_rare` and `_rare_pairs`); at anchors of up to `small` members,
+    pairs are compared whatever their shingles. Every pair of similarity 0.8 or
+    more that meets ends in one group.
 
     Rows with equal texts share a group; rows without words form one. row_id is
     the column `key` of docs (unique), or a number of the row.
     """
     rid = F.col(key).cast("long") if key else F.monotonically_increasing_id()
     small_batches(docs.sparkSession)
-    cols = ["f0", "f1", "f2", "f3"]
+    cols, marks = ["f0", "f1", "f2", "f3"], [f"p{i}" for i in range(PARITIES)]
 
     def run(batches):
         for b in batches:
             sets = [np.unique(shingle_hashes((t or "").encode(), width)) for t in b.column(1).to_pylist()]
-            fps = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, 4)
+            bits = np.array([np.concatenate([wide_fingerprint(h), parities(h)]) for h in sets], np.uint64).reshape(-1, 4 + PARITIES).view(np.int64)
             same = pa.array([xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) for h in sets], pa.int64())
             sizes = pa.array([len(h) for h in sets], pa.int64())
             keys = pa.array([anchor_keys(h) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), same, *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(4)), sizes, keys], ["doc_id", "row_id", "same", *cols, "size", "keys"])
+            short = pa.array(np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), same, *(pa.array(np.ascontiguousarray(x)) for x in bits.T), sizes, short, keys], ["doc_id", "row_id", "same", *cols, *marks, "size", "fp", "keys"])
 
     def shingles(batches):
         for b in batches:
@@ -247,19 +276,27 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80,
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rid.alias("row_id"))
     if key is None:
         texts = stored(texts, "numbered")  # read twice: the numbers must not change
-    fp = stored(texts.mapInArrow(run, "doc_id long, row_id long, same long, f0 long, f1 long, f2 long, f3 long, size long, keys array<long>"), "wide")
+    form = ", ".join(f"{c} long" for c in ["doc_id", "row_id", "same", *cols, *marks, "size", "fp"])
+    fp = stored(texts.mapInArrow(run, form + ", keys array<long>"), "wide")
     whole = ["same", *cols]
-    distinct = stored(fp.groupBy(*whole, "size", "keys").agg(F.min("row_id").alias("node")), "wide-distinct")
+    distinct = fp.groupBy(*whole, *marks, "size", "keys").agg(F.min(F.struct("row_id", "fp")).alias("x"))
+    distinct = stored(distinct.select(*whole, *marks, "size", "keys", F.col("x.row_id").alias("node"), "x.fp"), "wide-distinct")
     rows = distinct.select("node", F.explode("keys").alias("key"))
     blind = lambda c: F.col(c).bitwiseXOR(F.xxhash64("key"))  # noqa: E731  another order of the nodes at each anchor
     ends = rows.groupBy("key").agg(F.min(blind("node")).alias("lo"), F.max(blind("node")).alias("hi")).where("lo <> hi").select("key", blind("lo").alias("lo"), blind("hi").alias("hi"))
     met = stored(rows.join(ends, "key"), "near-met")
-    kin = stored(met.select("node").distinct(), "near-kin")
+    codes = stored(distinct.groupBy("fp").agg(F.min("node").alias("first")), "near-codes")
+    code = lambda k: codes.select(F.col("fp").alias(k), F.col("first").alias(k + "node"))
+    covered = links(codes.select("fp")).join(code("a"), "a").join(code("b"), "b").select(F.col("anode").alias("x"), F.col("bnode").alias("y"))
+    equal = distinct.select("fp", "node").join(codes, "fp").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    covered = stored(covered.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "near-covered")
+    kin = stored(met.select("node").union(covered.select(F.explode(F.array("a", "b")))).distinct(), "near-kin")
     sets = stored(texts.join(kin, F.col("row_id") == F.col("node"), "left_semi").select("row_id", "text").mapInArrow(shingles, "node long, shingles array<long>"), "near-shingles")
 
-    side = lambda k: distinct.select(F.col("node").alias(k), *(F.col(c).alias(k + c) for c in [*cols, "size"]))
-    apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in cols), F.lit(0))
-    alike = (apart <= most_bits) & (5 * F.least("asize", "bsize") >= 4 * F.greatest("asize", "bsize"))  # sizes further apart cannot reach 0.8
+    side = lambda k: distinct.select(F.col("node").alias(k), *(F.col(c).alias(k + c) for c in [*cols, *marks, "size"]))
+    apart = lambda of: sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in of), F.lit(0))
+    alike = (apart(cols) <= most_bits) & (5 * F.least("asize", "bsize") >= 4 * F.greatest("asize", "bsize"))  # sizes further apart cannot reach 0.8
+    alike &= 9 * apart(marks) <= F.col("asize") + F.col("bsize")  # nor can sets that more than a ninth of their shingles sets apart
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more."""
@@ -277,12 +314,16 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80,
     member = stored(member, "near-members")
     open_keys = stored(member.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r <> s").select("key", "n"), "near-open")
     rest = member.join(open_keys, "key").select("key", "node", "root", "n")
-    few = rest.where(F.col("n") <= small).select("key", "node", "root")
-    many = stored(rest.where(F.col("n") > small).select("node", "root").distinct(), "near-crowd")
-    rare = _rare(sets.join(many, "node"))
-    left = few.unionByName(rare).join(distinct.select("node", "size", *cols), "node")
-    ab = lambda k: left.select("key", *(F.col(c).alias(k + c) for c in ["root", "size", *cols]), F.col("node").alias(k))
-    more = ab("a").join(ab("b"), "key").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & alike)
+    crowd = stored(rest.where(F.col("n") > small).select("node", "root").distinct(), "near-crowd")
+    bits = distinct.select("node", "size", *cols, *marks)
+    more = _rare_pairs(_rare(sets.join(crowd, "node")).join(bits, "node"), alike)
+    if small:
+        few = rest.where(F.col("n") <= small).select("key", "node", "root").join(bits, "node")
+        ab = lambda k: few.select("key", *(F.col(c).alias(k + c) for c in ["root", "size", *cols, *marks]), F.col("node").alias(k))
+        more = more.unionByName(ab("a").join(ab("b"), "key").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & alike).select("a", "b"))
+    root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(k + "root"))
+    covered = covered.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("aroot", "a") != F.coalesce("broot", "b")).select("a", "b")
+    more = more.unionByName(covered.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"))
     linked = linked.unionByName(verified(more.select("a", "b").distinct(), "near-rest"))
     roots = stored(connected(linked, "near"), "near-roots")
     label = distinct.join(roots, distinct.node == roots.node, "left").select(*whole, F.coalesce("root", distinct.node).alias("group_id"))

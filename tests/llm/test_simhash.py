@@ -4,7 +4,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from strataloom.llm.simhash import anchor_keys, fingerprint, links, near_duplicate_groups, op6_simhash, shingle_hashes, simhash_components, wide_fingerprint
+from strataloom.llm import simhash
+from strataloom.llm.simhash import anchor_keys, fingerprint, links, near_duplicate_groups, op6_simhash, parities, shingle_hashes, simhash_components, wide_fingerprint
 
 from .corpora import Union, empty, near_copies, odd, odd_rows, prose, words
 
@@ -163,3 +164,42 @@ def test_pairs_within_a_shared_passage_meet(spark):
         for i in range(len(texts)):  # whoever meets is joined; by rare shingles a pair that shares no anchor may be too
             assert found[i] == found[want.find(i)]
             assert first[found[i]] >= i - 1
+
+
+def test_fingerprints_three_bits_apart_meet_without_a_shared_minimum(spark):
+    rng, refrain = random.Random(5), "x y z " * 600  # most shingles of either text, so that few bits differ
+    for _ in range(20_000):  # one in some 900 will do
+        base = prose(rng, 204, 10**6)
+        texts = [refrain + base, refrain + " ".join([*base.split()[:-22], *prose(rng, 22, 10**6).split()])]
+        if not sketch(texts[0])[2] & sketch(texts[1])[2]:
+            break
+    assert jaccard(sketch(texts[0])[0], sketch(texts[1])[0]) >= 0.8 and not sketch(texts[0])[2] & sketch(texts[1])[2]
+    assert (fingerprint(texts[0]) ^ fingerprint(texts[1])).bit_count() <= 3
+    texts.append(refrain + prose(rng, 204, 10**6))  # near in bits, but unlike
+    found = {r.doc_id: r.group_id for r in near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found[0] == found[1] != found[2]
+
+
+def test_unlike_copies_of_one_text_are_no_candidates(spark, monkeypatch):
+    rng, made = random.Random(8), {}
+    base = prose(rng, 150, 10**6).split()
+    texts = []
+    for _ in range(400):  # 0.6 to 0.75 alike, all with one another
+        words = list(base)
+        for at in rng.sample(range(150), 4):
+            words[at] = f"own{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    sets = [np.unique(shingle_hashes(t.encode(), 5)) for t in texts]
+    for a, b in zip(sets, sets[1:]):  # the bound on what two sets differ in
+        bits = sum(int(x).bit_count() for x in parities(a) ^ parities(b))
+        assert 0 < bits <= len(np.setxor1d(a, b))
+    stored = simhash.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert made["near-pairs"] + made["near-rest"] < 10 * len(texts)
