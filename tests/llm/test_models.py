@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from strataloom.llm.plm import CLASSES, UNSEEN, Net, contexts, op7_pseudo_likelihood, pseudo_likelihood, to_classes, vocabulary, words_of
-from strataloom.llm.quality import NAMES, fit_pairs, fit_quality, op1_quality, score_quality
+from strataloom.llm.quality import NAMES, cut_between, fit_described, fit_pairs, fit_quality, op1_quality, score_quality
 from strataloom.llm.toxicity import fit_toxicity, ftrl, op8_toxicity, score_toxicity
 
 from .corpora import empty, odd, odd_rows
@@ -76,6 +76,30 @@ def test_blank_texts_score_below_the_cut_unless_labels_say_otherwise(spark):
         assert np.mean([got[i] >= 0.3 for i in range(1, 200, 2)]) > 0.9 and np.mean([got[i] >= 0.3 for i in range(0, 200, 2)]) < 0.1
 
 
+def test_all_labelled_rows_and_pairs_count(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(9000, len(NAMES)))
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=9000) > 1).astype(int)
+    ids = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 5][:9000]
+    seen = spark.createDataFrame([(i, r) for i, r in zip(ids, x.tolist())], "doc_id long, x array<double>")
+    w, cut, _ = fit_described(seen, spark.createDataFrame(list(zip(ids, y.tolist())), "doc_id long, quality int"))
+    raw = x @ w
+    assert (raw < cut).sum() == (y == 0).sum() > 4000  # the quantile of all rows; there were 4,000 of a class at most
+    z = (x - x.mean(0)) / x.std(0)
+    v, good, bad = w * x.std(0), z[y == 1], z[y == 0]
+    grad = 1e-3 * v  # of all pairs, one by one
+    for at in range(0, len(good), 200):
+        p = 1 / (1 + np.exp(-((good[at : at + 200] @ v)[:, None] - (bad @ v)[None])))
+        grad -= ((1 - p).sum(1) @ good[at : at + 200] - (1 - p).sum(0) @ bad) / len(good) / len(bad)
+    assert np.abs(grad).max() < 1e-3
+
+
+def test_cut_between_ties(spark):
+    df = lambda xs: spark.createDataFrame([(float(x),) for x in xs], "raw double")
+    assert cut_between(df([1] * 80 + [5] * 20), 80) == 3 and cut_between(df([1] * 80 + [5] * 20), 30) == 3
+    assert cut_between(df([1, 2, 2, 2, 9]), 1) == 1.5 and cut_between(df([4] * 9), 3) == 4
+
+
 def slow_ftrl(rows, size, epochs, alpha, beta, l1, l2):
     z, n, zb, nb = [0.0] * size, [0.0] * size, 0.0, 0.0
     weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
