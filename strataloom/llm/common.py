@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.storage import dropped, shared_dir, stored
 
-__all__ = ["Memo", "WordHashes", "connected", "dropped", "held_out", "shared_dir", "small_batches", "stored", "table"]
+__all__ = ["Memo", "WordHashes", "connected", "dropped", "held_out", "released", "shared_dir", "small_batches", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +27,14 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def released(batches):
+    """batches; at their end the Python worker, which serves later tasks too, gives back what it no longer uses."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_out(doc_id) -> "F.Column":
     """True where crc32 of the id as text is a multiple of five."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

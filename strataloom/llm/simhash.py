@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import connected, small_batches, stored, table
+from strataloom.llm.common import connected, released, small_batches, stored, table
 
 ONES = (1 << 64) - 1
 #: Bits of a position's binary form j: the parity checks of the [31, 26] code.
@@ -277,7 +277,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80,
     if key is None:
         texts = stored(texts, "numbered")  # read twice: the numbers must not change
     form = ", ".join(f"{c} long" for c in ["doc_id", "row_id", "same", *cols, *marks, "size", "fp"])
-    fp = stored(texts.mapInArrow(run, form + ", keys array<long>"), "wide")
+    fp = stored(texts.mapInArrow(lambda batches: released(run(batches)), form + ", keys array<long>"), "wide")
     whole = ["same", *cols]
     distinct = fp.groupBy(*whole, *marks, "size", "keys").agg(F.min(F.struct("row_id", "fp")).alias("x"))
     distinct = stored(distinct.select(*whole, *marks, "size", "keys", F.col("x.row_id").alias("node"), "x.fp"), "wide-distinct")
@@ -291,7 +291,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80,
     equal = distinct.select("fp", "node").join(codes, "fp").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
     covered = stored(covered.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "near-covered")
     kin = stored(met.select("node").union(covered.select(F.explode(F.array("a", "b")))).distinct(), "near-kin")
-    sets = stored(texts.join(kin, F.col("row_id") == F.col("node"), "left_semi").select("row_id", "text").mapInArrow(shingles, "node long, shingles array<long>"), "near-shingles")
+    sets = stored(texts.join(kin, F.col("row_id") == F.col("node"), "left_semi").select("row_id", "text").mapInArrow(lambda batches: released(shingles(batches)), "node long, shingles array<long>"), "near-shingles")
 
     side = lambda k: distinct.select(F.col("node").alias(k), *(F.col(c).alias(k + c) for c in [*cols, *marks, "size"]))
     apart = lambda of: sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in of), F.lit(0))
