@@ -75,23 +75,32 @@ class Net:
             at += n
 
     def _hidden(self, ctx: np.ndarray) -> np.ndarray:
-        h = self.E[0][ctx[0]] + self.b0
+        h = self.E[0].take(ctx[0], axis=0)
+        h += self.b0
         for k in range(1, len(OFFSETS)):
-            h += self.E[k][ctx[k]]
+            h += self.E[k].take(ctx[k], axis=0)
         return np.tanh(h, out=h)
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    def _powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp(z) of logits z, a column for each position, divided by its greatest; and the columns' sums. z loses that greatest. Columns, since sums along short rows are slow."""
+        z -= z.max(axis=0)
+        e = np.exp(z)
+        return e, e.sum(axis=0)
 
     def log_probs(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target class given its context classes (one row for each offset)."""
         h = self._hidden(ctx)
         a, b = target >> 5, target & 31
         at = np.arange(len(target))
-        first = self._log_softmax(h @ self.Wa + self.ba)[at, a]
-        return first + self._log_softmax((h * self.G[a]) @ self.Wb + self.C[a])[at, b]
+
+        def picked(z: np.ndarray, digit: np.ndarray) -> np.ndarray:
+            total = self._powers(z)[1]
+            return z[digit, at] - np.log(total)
+
+        first = picked(self.Wa.T @ h.T + self.ba[:, None], a)
+        h *= self.G.take(a, axis=0)
+        return first + picked(self.Wb.T @ h.T + self.C.take(a, axis=0).T, b)
 
     def learn(self, ctx: np.ndarray, target: np.ndarray, rate: float = 0.1) -> None:
         """One Adagrad step on a batch."""
@@ -99,19 +108,26 @@ class Net:
         h = self._hidden(ctx)
         a, b = target >> 5, target & 31
         at = np.arange(n)
-        da = np.exp(self._log_softmax(h @ self.Wa + self.ba))
-        gated = h * self.G[a]
-        db = np.exp(self._log_softmax(gated @ self.Wb + self.C[a]))
-        da[at, a] -= 1
-        db[at, b] -= 1
+        gate = self.G.take(a, axis=0)
+        gated = h * gate
+        da, total = self._powers(self.Wa.T @ h.T + self.ba[:, None])
+        da /= total
+        db, total = self._powers(self.Wb.T @ gated.T + self.C.take(a, axis=0).T)
+        db /= total
+        da[a, at] -= 1
+        db[b, at] -= 1
         da /= n
         db /= n
-        back = db @ self.Wb.T
-        dh = (da @ self.Wa.T + back * self.G[a]) * (1 - h * h)
-        lanes = np.arange(WIDTH)
-        add = lambda idx, rows, size, lane: np.bincount((idx[:, None] * len(lane) + lane).ravel(), weights=rows.ravel(), minlength=size * len(lane))
-        parts = [add(ctx[k], dh, CLASSES, lanes) for k in range(len(OFFSETS))]
-        parts += [dh.sum(0), (h.T @ da).ravel(), da.sum(0), add(a, back * h, DIGIT, lanes), (gated.T @ db).ravel(), add(a, db, DIGIT, np.arange(DIGIT))]
+        back = db.T @ self.Wb.T
+        dh = (da.T @ self.Wa.T + back * gate) * (1 - h * h)
+        cells = (np.arange(len(OFFSETS))[:, None] * CLASSES + ctx).ravel()
+        order = np.argsort(cells.astype(np.uint16), kind="stable")
+        cells = cells[order]
+        starts = np.flatnonzero(np.diff(cells, prepend=-1))
+        embedded = np.zeros((len(OFFSETS) * CLASSES, WIDTH), np.float32)
+        embedded[cells[starts]] = np.add.reduceat(dh.take(order % n, axis=0), starts, axis=0)
+        first = (np.arange(DIGIT)[:, None] == a).astype(np.float32)  # sums by first digit are products with it
+        parts = [embedded, dh.sum(0), h.T @ da.T, da.sum(1), first @ (back * h), gated.T @ db.T, first @ db.T]
         g = np.concatenate([p.ravel() for p in parts]).astype(np.float32)
         self.sum2 += g * g
         self.flat -= rate * g / np.sqrt(self.sum2)
