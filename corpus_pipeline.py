@@ -7,10 +7,13 @@ works on all rows its predecessor kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import small_batches, stored, table
+from strataloom.llm.common import small_batches, stored, table, trimmed
 from strataloom.llm.decontam import find_overlaps
 from strataloom.llm.packing import pack_documents, vocabulary
 from strataloom.llm.pii import KINDS, scan_and_find
@@ -20,17 +23,30 @@ from strataloom.llm.toxicity import fit_toxicity, score_toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _light(stage: Callable) -> Callable:
+    """stage; before it, the driver gives back the native memory that the stages before it left behind."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        trimmed(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs with rid, a number for each row that stays the same when tasks run again."""
     return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("rid")), name)
 
 
+@_light
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5. Null texts stay."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs.select(*COLUMNS), model, COLUMNS).where(F.col("tox_score") < 0.5).drop("tox_score")
 
 
+@_light
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five-word shingles, similarity of about 0.8 or more): the one with the least doc_id.
 
@@ -46,11 +62,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(gone, "rid", "left_anti").select(*COLUMNS)
 
 
+@_light
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark passage was found."""
     return find_overlaps(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS).where(F.size("items") == 0).select(*COLUMNS)
 
 
+@_light
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each span of personal data replaced by its kind in angle brackets; n_chars follows the text."""
     found = scan_and_find(docs.select(*COLUMNS), keep=COLUMNS)
@@ -69,6 +87,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.select("doc_id", masked.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_light
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
     return pack_documents(docs, vocabulary())

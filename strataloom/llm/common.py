@@ -8,12 +8,13 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.storage import dropped, shared_dir, stored
 
-__all__ = ["Memo", "WordHashes", "connected", "dropped", "held_out", "released", "shared_dir", "small_batches", "stored", "table"]
+__all__ = ["Memo", "WordHashes", "connected", "dropped", "held_out", "released", "shared_dir", "small_batches", "stored", "table", "trimmed"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,24 @@ def released(batches):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(spark: SparkSession) -> bool:
+    """Has the driver's JVM give back native memory that it has freed (compiled plans leave a lot of it behind in the C library). False where it can't: JDK before 17.0.9, or another C library."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    kind = jvm.java.lang.Class.forName
+    names = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    types, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+    try:
+        for i, name in enumerate(names):
+            types[i] = kind(name)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        given[2], given[3] = new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)
+        # by reflection: the server's own class is not open to callers
+        said = kind("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return False
+    return "Trim native heap" in str(said)
+
+
 def held_out(doc_id) -> "F.Column":
     """True where crc32 of the id as text is a multiple of five."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -80,7 +99,8 @@ def connected(edges: DataFrame, name: str = "cc") -> DataFrame:
     never gathered; what they are joined with is stored first where there are more
     than MANY links, so adaptive execution may split the partition of a hub; of
     fewer links the aggregate is small enough for it to be broadcast. Each round's
-    tables are deleted once the next is written. No links give no rows.
+    tables are deleted once the next is written, and the driver gives back what its
+    plans leave behind. No links give no rows.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
 
@@ -100,6 +120,7 @@ def connected(edges: DataFrame, name: str = "cc") -> DataFrame:
         for old in (edges, least, large, low):
             dropped(old)
         edges = small
+        trimmed(edges.sparkSession)
         if now == seen:
             break
         seen = now

@@ -49,6 +49,15 @@ def test_odd_and_empty_tables(spark, small):
         assert docs.count() <= 40 * n and (docs.count() > 0) == (n > 0)
 
 
+def test_the_driver_gives_memory_back_before_each_stage(spark, tiny, monkeypatch):
+    done, trimmed = [], P.trimmed
+    monkeypatch.setattr(P, "trimmed", lambda s: done.append(trimmed(s)))
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select(*P.COLUMNS)
+    for _, stage in P.STAGES:
+        stage(spark, docs.limit(5), tiny)
+    assert done == [True] * len(P.STAGES)  # Linux, JDK 17.0.9 or later
+
+
 def test_run_gives_the_last_stage(spark, tiny):
     got = P.run(spark, tiny)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
