@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strataloom.storage import dropped, shared_dir, stored
 
-__all__ = ["Memo", "WordHashes", "connected", "dropped", "held_out", "released", "shared_dir", "small_batches", "stored", "table", "trimmed"]
+__all__ = ["Memo", "WordHashes", "connected", "dropped", "held_out", "released", "shared_dir", "small_batches", "stored", "table", "trimmed", "unsent"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def trimmed(spark: SparkSession) -> bool:
     return "Trim native heap" in str(said)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df for a join in which neither side is broadcast. Spark sizes what an explode makes as if each row gave one, too low by the length of its arrays, and would gather it in the driver."""
+    return df.hint("merge")
+
+
 def held_out(doc_id) -> "F.Column":
     """True where crc32 of the id as text is a multiple of five."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -98,7 +103,7 @@ def connected(edges: DataFrame, name: str = "cc") -> DataFrame:
     many rounds that takes. Each node's neighbours are only aggregated (min),
     never gathered; what they are joined with is stored first where there are more
     than MANY links, so adaptive execution may split the partition of a hub; of
-    fewer links the aggregate is small enough for it to be broadcast. Each round's
+    fewer links the aggregate is small enough for it to be broadcast, of more it never is. Each round's
     tables are deleted once the next is written, and the driver gives back what its
     plans leave behind. No links give no rows.
     """
@@ -109,13 +114,13 @@ def connected(edges: DataFrame, name: str = "cc") -> DataFrame:
 
     seen = mark(edges)
     while seen[0]:
-        kept = stored if seen[0] > MANY else lambda df, _: df
+        kept, sent = (stored, unsent) if seen[0] > MANY else (lambda df, _: df, lambda df: df)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
-        large = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
+        large = stored(both.join(sent(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
         low = kept(large.groupBy("a").agg(F.min("b").alias("m")), name)
         pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        small = stored(large.join(low, "a").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct(), name)
+        small = stored(large.join(sent(low), "a").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct(), name)
         now = mark(small)
         for old in (edges, least, large, low):
             dropped(old)

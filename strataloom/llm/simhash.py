@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import connected, released, small_batches, stored, table
+from strataloom.llm.common import connected, released, small_batches, stored, table, unsent
 
 ONES = (1 << 64) - 1
 #: Bits of a position's binary form j: the parity checks of the [31, 26] code.
@@ -109,7 +109,7 @@ def _dense_links(fps: DataFrame) -> DataFrame:
     signed = lambda xs: [x - (1 << 64) if x >> 63 else x for x in xs]
     ball = lambda xs: fps.select("fp", F.explode(F.lit(signed(xs)).cast("array<long>")).alias("d")).select("fp", F.col("fp").bitwiseXOR(F.col("d")).alias("point"))
     hubs = ball(one).groupBy("point").agg(F.min("fp").alias("a"))
-    return ball(two).join(hubs, "point").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    return ball(two).join(unsent(hubs), "point").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def links(fps: DataFrame, threshold: int = 3, dense: int = 2_000) -> DataFrame:
@@ -131,7 +131,7 @@ def links(fps: DataFrame, threshold: int = 3, dense: int = 2_000) -> DataFrame:
             raise ValueError("dense anchors need a threshold of 3")
         extra = _dense_links(stored(within, "dense"))
         hosts = hosts.join(crowded, "key", "left_anti")
-    found = hosts.join(guests, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
+    found = hosts.join(unsent(guests), "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
     found = found.select("a", "b").distinct()
     return found.unionByName(extra) if extra is not None else found
 

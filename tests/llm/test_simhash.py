@@ -203,3 +203,13 @@ def test_unlike_copies_of_one_text_are_no_candidates(spark, monkeypatch):
     monkeypatch.setattr(simhash, "stored", counted)
     near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
     assert made["near-pairs"] + made["near-rest"] < 10 * len(texts)
+
+
+def test_exploded_rows_are_never_sent_to_the_driver(spark, tmp_path):
+    rng = random.Random(9)
+    path = str(tmp_path / "fps")
+    spark.createDataFrame([(rng.getrandbits(63), i) for i in range(20_000)], "fp long, node long").write.parquet(path)
+    fps = spark.read.parquet(path)  # a third of a MB, which Spark's threshold lets pass; its guests are some 2.5 million rows
+    for df in (links(fps.select("fp")), simhash._dense_links(fps.select("fp"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
