@@ -201,7 +201,7 @@ def _rare(sets: DataFrame) -> DataFrame:
     each = sets.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     often = each.groupBy("key").agg(F.count("*").alias("often"))
     order = F.sort_array(F.collect_list(F.struct("often", "key")))
-    first = each.join(often, "key").groupBy("node", "root", "n").agg(order.alias("s"))
+    first = each.join(unsent(often), "key").groupBy("node", "root", "n").agg(order.alias("s"))
     first = first.select("node", "root", "n", F.posexplode(F.slice("s", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int"))).alias("at", "x"))
     return first.where("x.often > 1").select("x.key", "node", "root", "n", "at")
 
@@ -220,7 +220,7 @@ def _rare_pairs(rare: DataFrame, alike) -> DataFrame:
     hosts, guests = side(rare.where("9 * at <= n"), "a"), side(rare, "b")
     enough = 9 * F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) >= 4 * (F.col("an") + F.col("bn"))
     once = (F.col("a") < F.col("b")) | ((F.col("a") != F.col("b")) & ~home("b"))
-    met = hosts.join(guests, "key").where(enough & once & (F.col("aroot") != F.col("broot")) & alike)
+    met = hosts.join(unsent(guests), "key").where(enough & once & (F.col("aroot") != F.col("broot")) & alike)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -284,7 +284,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80,
     rows = distinct.select("node", F.explode("keys").alias("key"))
     blind = lambda c: F.col(c).bitwiseXOR(F.xxhash64("key"))  # noqa: E731  another order of the nodes at each anchor
     ends = rows.groupBy("key").agg(F.min(blind("node")).alias("lo"), F.max(blind("node")).alias("hi")).where("lo <> hi").select("key", blind("lo").alias("lo"), blind("hi").alias("hi"))
-    met = stored(rows.join(ends, "key"), "near-met")
+    met = stored(rows.join(unsent(ends), "key"), "near-met")
     codes = stored(distinct.groupBy("fp").agg(F.min("node").alias("first")), "near-codes")
     code = lambda k: codes.select(F.col("fp").alias(k), F.col("first").alias(k + "node"))
     covered = links(codes.select("fp")).join(code("a"), "a").join(code("b"), "b").select(F.col("anode").alias("x"), F.col("bnode").alias("y"))
@@ -320,7 +320,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, most_bits: int = 80,
     if small:
         few = rest.where(F.col("n") <= small).select("key", "node", "root").join(bits, "node")
         ab = lambda k: few.select("key", *(F.col(c).alias(k + c) for c in ["root", "size", *cols, *marks]), F.col("node").alias(k))
-        more = more.unionByName(ab("a").join(ab("b"), "key").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & alike).select("a", "b"))
+        more = more.unionByName(ab("a").join(unsent(ab("b")), "key").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & alike).select("a", "b"))
     root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(k + "root"))
     covered = covered.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("aroot", "a") != F.coalesce("broot", "b")).select("a", "b")
     more = more.unionByName(covered.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"))

@@ -210,6 +210,8 @@ def test_exploded_rows_are_never_sent_to_the_driver(spark, tmp_path):
     path = str(tmp_path / "fps")
     spark.createDataFrame([(rng.getrandbits(63), i) for i in range(20_000)], "fp long, node long").write.parquet(path)
     fps = spark.read.parquet(path)  # a third of a MB, which Spark's threshold lets pass; its guests are some 2.5 million rows
-    for df in (links(fps.select("fp")), simhash._dense_links(fps.select("fp"))):
+    sets = fps.select("node", F.col("node").alias("root"), F.array("fp", "node").alias("shingles"))
+    rare = simhash._rare(sets)
+    for df in (links(fps.select("fp")), simhash._dense_links(fps.select("fp")), rare, simhash._rare_pairs(rare, F.lit(True))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
