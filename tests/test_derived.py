@@ -35,7 +35,7 @@ def test_queries_make_only_what_they_ask_for(spark, copy_of):
     assert held() == {"d_events", "d_name", "d_class"}
     QUERIES["method_by_signature"](spark, d).collect()
     assert held() == {"d_events", "d_name", "d_class", "k_method", "d_method", "d_meth"}
-    assert derived._HELD[derived._key(spark, d)]["k_method"].columns == ["p_partkey", "p_name", "p_brand", "p_size", "l_suppkey"]
+    assert derived._HELD[derived._key(spark, d)]["k_method"].columns == ["p_partkey", "name", "brand", "p_size", "l_suppkey"]
     assert len(QUERIES["members_per_class"](spark, d).collect()) and "k_call" not in held()
 
 
@@ -61,3 +61,29 @@ def test_odd_tables_against_sql(spark, copy_of, keyed, part):
         assert sorted(got.columns) == heads
         theirs = sorted(tuple(plain(dict(zip([x[0] for x in want.description], r))[c]) for c in heads) for r in want.fetchall())
         assert sorted(tuple(plain(r[c]) for c in heads) for r in got.collect()) == theirs, name
+
+
+def test_postings_of_unique_nodes_take_no_shuffle(spark, tiny):
+    from strataloom.operators import text as X
+    from strataloom.plans.derived import graph
+    from pyspark.sql import functions as F
+
+    n = graph(spark, tiny).nodes
+    odd = n.limit(3).withColumns({"id": F.concat(F.lit("odd"), "id"), "name": F.lit("the İstanbul RedWidget ΑΣ widget-Red"), "file": F.lit(None).cast("string")})
+    nodes = spark.createDataFrame(n.limit(300).unionByName(odd).collect(), n.schema)
+    once, all_ = X.index_nodes(nodes, unique=True), X.index_nodes(nodes)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, all_.collect()))
+    for words in (["red", "widget"], ["RED"], ["ας"], ["brand2", "com"], [" "], ["the"]):
+        assert sorted(r.node_id for r in X.search_nodes(nodes, words).collect()) == sorted(r.node_id for r in X.search_all(all_, words).collect()), words
+
+
+@pytest.mark.parametrize("part", ["SELECT * FROM {t}", "SELECT * FROM {t} UNION ALL SELECT * FROM {t} WHERE p_partkey < 9"])
+def test_busiest_and_sites_with_and_without_keys(spark, copy_of, part):
+    from strataloom.plans import registry
+
+    d = copy_of(part=part)
+    g = derived.graph(spark, d)
+    assert registry.value(g, registry.BUSY) == g.sql(registry.BUSY).first()[0] and registry.value(g, registry.POPULAR) == g.sql(registry.POPULAR).first()[0]
+    a, b = g.sites(registry._SITES), g.sql(registry._SITES)
+    assert a.columns == b.columns and a.distinct().exceptAll(b.distinct()).isEmpty() and b.distinct().exceptAll(a.distinct()).isEmpty()
