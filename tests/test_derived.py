@@ -33,6 +33,8 @@ def test_queries_make_only_what_they_ask_for(spark, copy_of):
     assert held() == {"d_events"}
     QUERIES["all_packages"](spark, d).collect()
     assert held() == {"d_events", "d_name", "d_class"}
+    QUERIES["resolve_class"](spark, d).collect()
+    assert held() == {"d_events", "d_name", "d_class"}
     QUERIES["method_by_signature"](spark, d).collect()
     assert held() == {"d_events", "d_name", "d_class", "k_method", "d_method", "d_meth"}
     assert derived._HELD[derived._key(spark, d)]["k_method"].columns == ["p_partkey", "name", "brand", "p_size", "l_suppkey"]
